@@ -73,7 +73,7 @@ class Best:
 
     def _merge(self, row: int, scores: np.ndarray, ids: np.ndarray) -> None:
         s, w = np.concatenate([self.score[row], scores]), np.concatenate([self.who[row], ids])
-        order = np.lexsort((w, -s.astype(float), -s))[: self.k] if len(s) else []
+        order = np.lexsort((w, ~s))[: self.k]
         self.score[row], self.who[row] = s[order], w[order]
 
 
