@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, classifier, html, lines, near, packing, rules, search
+from . import bpe, classifier, html, lines, near, packing, rules, search, suffixes
 from .common import read_table
 
 
@@ -80,3 +80,10 @@ r AS (SELECT doc_id, doc_id AS root FROM s UNION SELECT l.b, r.root FROM r JOIN
 c AS (SELECT doc_id, min(root) AS component_id FROM r GROUP BY doc_id)
 SELECT s.doc_id, len(s)::BIGINT AS n_shingles, c.component_id, s.doc_id = c.component_id AS kept FROM s JOIN c USING (doc_id)
 """
+
+
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.dedup_substrings(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES["op1_suffix_dedup"] = op1_suffix_dedup
