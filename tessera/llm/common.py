@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,14 +42,35 @@ def drop_materialized(spark: SparkSession, df: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def keyed_texts(docs: DataFrame) -> DataFrame:
+def keyed_texts(docs: DataFrame, *extra: str) -> DataFrame:
     """doc_id, text and a key (k1, k2) that is never null and equal only for rows with equal doc_id and equal text."""
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("text"), F.lit("")).alias("text"),
+        *extra,
     ).withColumns({"k1": F.coalesce("doc_id", F.lit(-(2**63))), "k2": F.xxhash64("text", F.lit("row"))})
 
 
+def boxed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and all other columns as one struct, where their names can't clash with an operator's own."""
+    return docs.select("doc_id", "text", F.struct(F.lit(True).alias("row"), F.struct(*(docs[c] for c in docs.columns if c not in ("doc_id", "text")) or [F.lit(None).cast("int").alias("none")]).alias("columns")).alias("box"))
+
+
+def unboxed(result: DataFrame, like: DataFrame) -> DataFrame:
+    """The columns of `like` in their order and types; n_chars follows the text."""
+    own = {"doc_id": F.col("doc_id").cast(like.schema["doc_id"].dataType), "text": F.col("text")}
+    if "n_chars" in like.columns:
+        own["n_chars"] = F.length("text").cast(like.schema["n_chars"].dataType)
+    return result.select(*(own.get(c, F.col("box.columns").getField(c)).alias(c) for c in like.columns))
+
+
+def schema_with(ddl: str, source: DataFrame, extra: tuple[str, ...]) -> T.StructType:
+    out = T.StructType.fromDDL(ddl)
+    for x in extra:
+        out = out.add(x, source.schema[x].dataType)
+    return out
+
+
 def binary(column) -> list[bytes]:
     """The UTF-8 bytes of an Arrow string column; null as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary, keyed_texts, materialize, slices
+from .common import binary, keyed_texts, materialize, schema_with, slices
 
 #: Bytes of filters that may be broadcast.
 MOST_BROADCAST = 64 << 20
@@ -166,8 +166,8 @@ class LineIndex:
     def delete(self, docs: DataFrame) -> LineIndex:
         return LineIndex(materialize(merge_counts(self.counts, count_lines(docs, -1)), "lines"), self.least)
 
-    def apply(self, docs: DataFrame, with_text: bool = False) -> DataFrame:
-        """doc_id, n_lines, n_dropped, kept_sha256 (and text) of every row of docs under this index."""
+    def apply(self, docs: DataFrame, with_text: bool = False, extra: tuple[str, ...] = ()) -> DataFrame:
+        """doc_id, n_lines, n_dropped, kept_sha256 (and text, with the columns named in extra) of every row of docs under this index."""
         spark = docs.sparkSession
         frequent = materialize(self.counts.where(F.col("n_docs") >= self.least).select("digest"), "frequent")
         total = frequent.count()
@@ -220,16 +220,16 @@ class LineIndex:
                 columns = [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())]
                 names = ["doc_id", "n_lines", "n_dropped", "kept_sha256"]
                 if with_text:
-                    columns += [b.column("k1"), b.column("k2"), pa.array(texts, pa.binary()).cast(pa.string())]
-                    names += ["k1", "k2", "text"]
-                yield pa.record_batch(columns, names=names)
+                    columns.append(pa.array(texts, pa.binary()).cast(pa.string()))
+                    names.append("text")
+                yield pa.record_batch([*columns, *(b.column(x) for x in extra)], names=[*names, *extra])
 
-        schema = "doc_id long, n_lines long, n_dropped long, kept_sha256 string" + ", k1 long, k2 long, text string" * with_text
-        joined = keyed.join(dropped, ["k1", "k2"], "left")
-        return joined.select("doc_id", "text", "dropped", "k1", "k2").mapInArrow(cut, schema)
+        schema = "doc_id long, n_lines long, n_dropped long, kept_sha256 string" + ", text string" * with_text
+        joined = keyed_texts(docs, *extra).join(dropped, ["k1", "k2"], "left")
+        return joined.select("doc_id", "text", "dropped", *extra).mapInArrow(cut, schema_with(schema, joined, extra))
 
 
-def dedup_lines(docs: DataFrame, least: int = 10, with_text: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, least: int = 10, with_text: bool = False, extra: tuple[str, ...] = ()) -> DataFrame:
     """Drop every line whose key at least `least` documents hold."""
     index = LineIndex(materialize(count_lines(docs).where(F.col("n_docs") >= least), "lines"), least)
-    return index.apply(docs, with_text)
+    return index.apply(docs, with_text, extra)

@@ -22,10 +22,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import binary, keyed_texts, materialize, slices
+from .common import binary, boxed, keyed_texts, materialize, slices, unboxed
 
 SKETCH_WORDS = 8
 
@@ -204,7 +204,20 @@ def group_near(docs: DataFrame, width: int = 5, percent: int = 80, bands: int =
 
     rooted = classes.select("fp", "min_id").join(roots, F.col("fp") == F.col("node"), "left").select("fp", "min_id", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("min_id").alias("component_id"))
-    found = rooted.join(least, "root").select("fp", "component_id")
+    found = rooted.join(least, "root").select("fp", "component_id", "root")
     out = rows_.select("doc_id", "n", "fp", "k1", "k2").join(found, "fp", "left")
     component = F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "k1", "k2")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "k1", "k2", "root")
+
+
+def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """docs with one row of each component, the one with the smallest id (null last); rows with empty sets all stay."""
+    found = group_near(docs, width, percent).withColumn("late", F.col("doc_id").isNull())
+    least = F.struct("late", "k1", "k2")
+    first = found.where("root is not null").groupBy("root").agg(F.min(least).alias("k")).select("k.k1", "k.k2")
+    stay = materialize(first.unionByName(found.where("root is null").select("k1", "k2")).distinct().withColumn("stays", F.lit(True)), "kept")
+    rows = keyed_texts(boxed(docs), "box").join(stay, ["k1", "k2"])
+    # rows equal in id and text are copies of one another; those without words are linked with nothing
+    nth = F.row_number().over(Window.partitionBy("k1", "k2").orderBy(F.lit(0)))
+    worded = F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    return unboxed(rows.withColumn("nth", nth).where((F.col("nth") == 1) | ~worded), docs)

@@ -64,7 +64,7 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 
 
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near.group_near(read_table(spark, sf_dir, "documents"), width=4).drop("k1", "k2")
+    return near.group_near(read_table(spark, sf_dir, "documents"), width=4).drop("k1", "k2", "root")
 
 
 QUERIES["op6_minhash_near_dedup"] = op6_minhash_near_dedup

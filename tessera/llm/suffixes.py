@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary, materialize, slices
+from .common import binary, materialize, schema_with, slices
 from .near import mixed
 
 #: Bytes of one text that are searched for minimizers at once; longer texts are read in overlapping parts.
@@ -385,7 +385,6 @@ def dedup_substrings(docs: DataFrame, least: int = 200, anchor: int = 40, with_t
     # one row a text: its ranges as one sorted array
     ranges = gone.groupBy("th").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("ranges"))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *extra).withColumn("th", F.xxhash64("text"))
-    kinds = {f.name: f.dataType for f in own.schema}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -413,5 +412,5 @@ def dedup_substrings(docs: DataFrame, least: int = 200, anchor: int = 40, with_t
                 names.append("text")
             yield pa.record_batch([*arrays, *(b.column(x) for x in extra)], names=[*names, *extra])
 
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", text string" * with_text + "".join(f", {x} {kinds[x].simpleString()}" for x in extra)
-    return own.join(ranges, "th", "left").select("doc_id", "text", "ranges", *extra).mapInArrow(run, schema)
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", text string" * with_text
+    return own.join(ranges, "th", "left").select("doc_id", "text", "ranges", *extra).mapInArrow(run, schema_with(schema, own, extra))
