@@ -1,4 +1,51 @@
-"""The corpus pipeline: quality rules, line dedup, MinHash near-dedup, suffix-array dedup, packing."""
-STAGES = []
+"""The corpus pipeline: quality rules, line dedup, MinHash near-dedup, suffix-array dedup, packing.
+
+Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept.  All but the last return the columns of
+documents, with n_chars following the text.  SQL can't express the forest and the tokenizer, so there is no ORACLE_SQL.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tessera.llm import lines, near, packing, rules, suffixes
+from tessera.llm.common import boxed, materialize, read_table, unboxed
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules reject go."""
+    return rules.keep_good(docs, read_table(spark, sf_dir, "labels"))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that at least ten documents hold go."""
+    return unboxed(lines.dedup_lines(boxed(docs), with_text=True, extra=("box",)), docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays: five-word shingles, similarity of 0.8 or more."""
+    return near.keep_one(docs)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bytes of strings of 200 bytes that start twice or more go."""
+    return unboxed(suffixes.dedup_substrings(boxed(docs), with_text=True, extra=("box",)), docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of 4096 tokens."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [("quality_rules", quality_rules), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("substring_dedup", substring_dedup), ("packing", pack)]
 ORACLE_SQL = None
-def run(spark, sf_dir): raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages on documents; what each keeps is written to the shared folder before the next reads it."""
+    docs = read_table(spark, sf_dir, "documents")
+    for i, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = materialize(docs, name)
+    return docs
