@@ -108,7 +108,10 @@ def repeated_starts(contexts: list[bytes], least: int) -> list[np.ndarray]:
         take = np.flatnonzero(left[: n - i] >= i) if i else np.arange(n)
         at = take + i
         key[take] |= np.where(left[at] > 0, raw[at].astype(np.int64) + 1, 0)
-    order, span = np.argsort(key, kind="stable"), 7
+    order, span = np.argsort(key), 7
+    at = np.flatnonzero(left[order] < span)
+    met = order[at]
+    order[at] = met[np.lexsort((met, key[met]))]  # equal suffixes that have met their marks follow the marks
     while True:
         ordered = key[order]
         new = np.ones(n, bool)
@@ -128,20 +131,37 @@ def repeated_starts(contexts: list[bytes], least: int) -> list[np.ndarray]:
     bwt = before[order]
     back = np.argsort(bwt.astype(np.uint16) if m + 256 < 65536 else bwt, kind="stable")  # row of the first column to row of the transform
     column = bwt[back]
-    unset = np.flatnonzero((column[1:] == column[:-1]) & (column[1:] >= m)) + 1
-    low, high = back[unset - 1], back[unset]
-    fresh = np.ones(n, bool)
-    fresh[unset] = False
+    forward = np.empty(n, np.int64)
+    forward[back] = np.arange(n)
+    same = np.zeros(n, bool)
+    same[1:] = (column[1:] == column[:-1]) & (column[1:] >= m)
+    fresh = np.flatnonzero(~same)
+    unset = same.copy()
+    # rows of the transform that are neighbours and equal: a boundary between them is handed on directly
+    pair = np.zeros(n, bool)
+    pair[1:] = (bwt[1:] == bwt[:-1]) & (bwt[1:] >= m)
+    # other boundaries of the first column lie above wider ranges of the transform
+    wide = np.flatnonzero(same)
+    low, high = back[wide - 1], back[wide]
+    apart = high > low + 1
+    wide, low, high = wide[apart], low[apart], high[apart]
     for _ in range(1, least):
-        if not len(unset):
+        if not len(fresh):
             break
-        seen = np.cumsum(fresh, dtype=np.int32)
-        hit = seen[high] > seen[low]  # a boundary of the value before lies between: this one has the next value
-        if not hit.any():
-            break
-        fresh = np.zeros(n, bool)
-        fresh[unset[hit]] = True
-        unset, low, high = unset[~hit], low[~hit], high[~hit]
+        direct = forward[fresh[pair[fresh]]]
+        if len(wide):
+            if len(fresh) > n >> 5:
+                mask = np.zeros(n, bool)
+                mask[fresh] = True
+                seen = np.cumsum(mask, dtype=np.int32)
+                hit = seen[high] > seen[low]  # a boundary of the value before lies in the range: this one has the next value
+            else:
+                hit = np.searchsorted(fresh, high, "right") > np.searchsorted(fresh, low, "right")
+            direct = np.concatenate([direct, wide[hit]])
+            wide, low, high = wide[~hit], low[~hit], high[~hit]
+        fresh = np.sort(direct[unset[direct]])
+        unset[fresh] = False
+    unset = np.flatnonzero(unset)
     twice = np.zeros(n, bool)
     twice[order[unset]] = True
     twice[order[unset - 1]] = True
@@ -284,7 +304,7 @@ def fetch(texts: DataFrame, need: DataFrame, least: int, anchor: int) -> DataFra
     return texts.join(wanted, "th").select("th", "text", "rows").mapInArrow(run, "h long, th long, pos long, place int, body binary")
 
 
-def expand(bodies: DataFrame, least: int, most_bytes: int = 1 << 20) -> DataFrame:
+def expand(bodies: DataFrame, least: int, most_bytes: int = 1 << 18) -> DataFrame:
     """(th, start, end): bytes covered by repeated strings, by the transform over whole groups, several groups at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
