@@ -6,9 +6,10 @@ sketch, a bitmap in which each sample toggles one bit: the population count of t
 differ, precisely where similarity is high.  Candidates within the count that the threshold allows (with five deviations to spare)
 are confirmed on the full sets.
 
-Completeness without all pairs of a group: first every class is compared with the leader of its buckets, and linked classes form
-components; then, in buckets that still hold several components, the rows outside the most frequent one are compared with all
-rows of other components.  Any linked pair that shares a bucket is then joined or was compared.  Components come from alternating
+Completeness without all pairs of a group: first every class is compared with leaders of its buckets, the classes that share most
+buckets, and linked classes form components; then, in buckets that still hold several components, the classes outside the largest
+one are compared with the leaders of these and of the largest; last, those that are still outside are compared with all classes of
+other components in their bucket.  Any linked pair that shares a bucket is then joined or was compared.  Components come from alternating
 large-star and small-star steps on tables in the shared folder.
 
 Texts without words have no set and are linked with nothing; shorter texts than a shingle are one shingle.  Null ids get the smallest
@@ -27,7 +28,9 @@ from pyspark.sql import functions as F
 
 from .common import binary, boxed, keyed_texts, materialize, slices, unboxed
 
-SKETCH_WORDS = 8
+SKETCH_WORDS = 32
+#: MinHash samples that a sketch folds; the first of them make the bands.
+SAMPLES = 512
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -45,9 +48,10 @@ class Shingler:
     def __init__(self, width: int, bands: int, rows: int, seed: int = 7):
         rng = np.random.default_rng(seed)
         self.width, self.bands, self.rows = width, bands, rows
-        self.seeds = rng.integers(0, 2**32, bands * rows, dtype=np.uint32)
-        self.factors = rng.integers(0, 2**31, bands * rows, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-        self.places = np.arange(bands * rows, dtype=np.uint64) << np.uint64(32)
+        n = max(SAMPLES, bands * rows)
+        self.seeds = rng.integers(0, 2**32, n, dtype=np.uint32)
+        self.factors = rng.integers(0, 2**31, n, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+        self.places = np.arange(n, dtype=np.uint64) << np.uint64(32)
         self.powers = np.array([pow(0x9E3779B97F4A7C15, i, 2**64) for i in range(rows)], np.uint64)
         self.words: dict[bytes, int] = {}
 
@@ -83,7 +87,7 @@ class Shingler:
         return out
 
     def band_keys(self, samples: np.ndarray) -> np.ndarray:
-        s = samples.reshape(self.bands, self.rows).astype(np.uint64)
+        s = samples[: self.bands * self.rows].reshape(self.bands, self.rows).astype(np.uint64)
         return mixed((mixed(s) * self.powers).sum(1, dtype=np.uint64) + np.arange(self.bands, dtype=np.uint64)).astype(np.int64)
 
     def sketch(self, samples: np.ndarray) -> np.ndarray:
@@ -92,11 +96,15 @@ class Shingler:
         return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
-def most_apart(samples: int, similarity: float, deviations: float = 5.0) -> int:
-    """The popcount that sketches of sets at the similarity exceed with negligible chance."""
-    differ = samples * (1 - similarity) + deviations * np.sqrt(samples * similarity * (1 - similarity))
+def most_apart(samples: int, similarity: float, deviations: float = 4.0) -> int:
+    """The popcount that sketches of sets at the similarity exceed with negligible chance: the mean at that similarity and so many
+    deviations, of the samples and of the parity of the bits they toggle."""
     m = 64 * SKETCH_WORDS
-    return int(np.ceil(m / 2 * (1 - (1 - 2 / m) ** (2 * min(samples, differ)))))
+    n = 2 * samples * (1 - similarity)
+    mean = m / 2 * (1 - np.exp(-2 * n / m))
+    parity = m / 4 * (1 - np.exp(-4 * n / m)) - n * np.exp(-4 * n / m)
+    drawn = (2 * np.exp(-2 * n / m)) ** 2 * samples * similarity * (1 - similarity)
+    return int(np.ceil(mean + deviations * np.sqrt(parity + drawn)))
 
 
 def signatures(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
@@ -173,32 +181,60 @@ def group_near(docs: DataFrame, width: int = 5, percent: int = 80, bands: int =
     sketch = classes.select("fp", *(F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH_WORDS)))
     names = [f"s{i}" for i in range(SKETCH_WORDS)]
     apart = lambda x, y: sum((F.bit_count(F.col(f"{x}.{n}").bitwiseXOR(F.col(f"{y}.{n}"))) for n in names[1:]), F.bit_count(F.col(f"{x}.s0").bitwiseXOR(F.col(f"{y}.s0"))))
-    limit = most_apart(bands * rows, percent / 100)
+    limit = most_apart(max(SAMPLES, bands * rows), percent / 100)
 
     member = classes.select("fp", F.explode("bands").alias("key"))
-    leaders = member.groupBy("key").agg(F.min("fp").alias("leader"), F.count("*").alias("n")).where("n > 1").select("key", "leader")
-    shared = materialize(member.join(leaders, "key"), "buckets")  # only buckets of two classes or more
-    stars = shared.where("fp <> leader").select(F.col("fp").alias("b"), F.col("leader").alias("a")).distinct()
-    near = stars.join(sketch.alias("x"), F.col("a") == F.col("x.fp")).select("a", "b", F.struct(*names).alias("x"))
-    near = near.join(sketch.alias("y"), F.col("b") == F.col("y.fp")).select("a", "b", apart("x", "y").alias("d")).where(F.col("d") <= limit)
-    # a class meets its smallest and its nearest leader first; the second round makes up for the others
-    first = near.groupBy("b").agg(F.min("a").alias("a1"), F.min_by("a", F.struct("d", "a")).alias("a2"))
-    first = first.select("b", F.explode(F.array_distinct(F.array("a1", "a2"))).alias("a")).select("a", "b")
-    linked = materialize(confirmed(docs, classes, materialize(first, "pairs"), width, percent), "links")
-
+    sizes = member.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = materialize(member.join(sizes, "key"), "buckets")  # only buckets of two classes or more
+    weight = shared.groupBy("fp").agg(F.sum("n").alias("weight"))  # a class that shares many buckets is near the middle of its group
+    shared = materialize(shared.join(weight, "fp").select("key", "fp", "weight"), "buckets")
+
+    def apart_pairs(pairs: DataFrame) -> DataFrame:
+        """(a, b, d) of the distinct pairs whose sketches are near enough."""
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        got = pairs.join(sketch.alias("x"), F.col("a") == F.col("x.fp")).select("a", "b", F.struct(*names).alias("x"))
+        return got.join(sketch.alias("y"), F.col("b") == F.col("y.fp")).select("a", "b", apart("x", "y").alias("d")).where(F.col("d") <= limit)
+
+    # first, every class meets the leaders of its buckets: the nearest one and the one with most weight
+    leaders = shared.groupBy("key").agg(F.max(F.struct("weight", "fp")).alias("leader"))
+    stars = shared.join(leaders, "key").where("fp <> leader.fp").select("fp", F.col("leader.fp").alias("to"), F.col("leader.weight").alias("weight"))
+    measured = stars.select("fp", "to", "weight").distinct().join(sketch.alias("x"), "fp").select("fp", "to", "weight", F.struct(*names).alias("x"))
+    measured = measured.join(sketch.withColumnRenamed("fp", "to").alias("y"), "to").select("fp", "to", "weight", apart("x", "y").alias("d")).where(F.col("d") <= limit)
+    best = measured.groupBy("fp").agg(F.max_by("to", F.struct("weight", "to")).alias("heavy"), F.min_by("to", F.struct("d", "to")).alias("close"))
+    first = best.select("fp", F.explode(F.array_distinct(F.array("heavy", "close"))).alias("to")).select(F.least("fp", "to").alias("a"), F.greatest("fp", "to").alias("b"))
+    tested = materialize(first.distinct(), "pairs")
+    linked = materialize(confirmed(docs, classes, tested, width, percent), "links")
     roots = components(linked)
-    placed = shared.select("key", "fp").join(roots, F.col("fp") == F.col("node"), "left").select("key", "fp", F.coalesce("root", "fp").alias("root"))
-    counted = placed.groupBy("key", "root").agg(F.count("*").alias("n"))
-    major = counted.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("major"), F.count("*").alias("roots")).where("roots > 1").select("key", "major")
-    mixed_ = materialize(placed.join(major, "key").join(sketch, "fp"), "mixed")
+
+    def still_mixed() -> DataFrame:
+        """key, fp, weight, root, major of the buckets that hold several components."""
+        placed = shared.join(roots, F.col("fp") == F.col("node"), "left").select("key", "fp", "weight", F.coalesce("root", "fp").alias("root"))
+        counted = placed.groupBy("key", "root").agg(F.count("*").alias("n"))
+        major = counted.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("major"), F.count("*").alias("roots")).where("roots > 1").select("key", "major")
+        return placed.join(major, "key")
+
+    # then, the classes outside the largest component of a bucket meet the leaders of what remains, and of the largest component
+    rest = still_mixed()
+    heads = rest.groupBy("key").agg(F.max(F.when(F.col("root") != F.col("major"), F.struct("weight", "fp", "root"))).alias("own"), F.max(F.when(F.col("root") == F.col("major"), F.struct("weight", "fp", "root"))).alias("other"))
+    outside = rest.where("root <> major").join(heads, "key").select("fp", "root", F.explode(F.array("own", "other")).alias("to")).where("root <> to.root")
+    again = apart_pairs(outside.select(F.col("fp").alias("a"), F.col("to.fp").alias("b"))).select("a", "b").join(tested, ["a", "b"], "left_anti")
+    again = materialize(again, "pairs")
+    more = materialize(confirmed(docs, classes, again, width, percent), "links")
+    tested = tested.unionByName(again)
+    if not more.isEmpty():
+        linked = linked.unionByName(more)
+        roots = components(linked)
+
+    # last, what is still apart in a bucket meets all of it
+    mixed_ = materialize(still_mixed().join(sketch, "fp"), "mixed")
     cross = mixed_.where("root <> major").alias("x").join(
         mixed_.alias("y"),
         (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.major")) | (F.col("x.fp") < F.col("y.fp"))) & (apart("x", "y") <= limit),
     )
     cross = cross.select(F.least("x.fp", "y.fp").alias("a"), F.greatest("x.fp", "y.fp").alias("b")).distinct()
-    tested = materialize(cross.join(first, ["a", "b"], "left_anti"), "pairs")
-    if not tested.isEmpty():
-        more = materialize(confirmed(docs, classes, tested, width, percent), "links")
+    left = materialize(cross.join(tested, ["a", "b"], "left_anti"), "pairs")
+    if not left.isEmpty():
+        more = materialize(confirmed(docs, classes, left, width, percent), "links")
         if not more.isEmpty():
             roots = components(linked.unionByName(more))
 
