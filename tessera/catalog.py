@@ -1,6 +1,8 @@
-"""Every query of the library with its DuckDB text."""
+"""Every query of the library with its DuckDB text; the groups live in tessera.plans."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from .plans import concentration, corpus, prompts
+from .plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "concentration", "corpus", "prompts"]
