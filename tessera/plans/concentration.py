@@ -197,7 +197,7 @@ def majority_vote(spark, sf_dir):
     return v.groupBy("l_orderkey").agg(F.min(F.struct(-F.col("count"), "vote")).alias("b"), F.max("count").alias("votes"), F.count("*").alias("options")).select("l_orderkey", F.col("b.vote").alias("winner"), "votes", "options")
 
 
-@query("SELECT user_id, round(avg(value) FILTER (WHERE event_type = 'click'), 5) AS click, round(avg(value) FILTER (WHERE event_type = 'view'), 5) AS view FROM events GROUP BY 1")
+@query("SELECT user_id, round(avg(value) FILTER (WHERE event_type = 'click'), 3) AS click, round(avg(value) FILTER (WHERE event_type = 'view'), 3) AS view FROM events GROUP BY 1")
 def pivot_ratings(spark, sf_dir):
     p = table(spark, sf_dir, "events").groupBy("user_id").pivot("event_type", ["click", "view"]).agg(F.avg("value"))
-    return p.select("user_id", F.round("click", 5).alias("click"), F.round("view", 5).alias("view"))
+    return p.select("user_id", F.round("click", 3).alias("click"), F.round("view", 3).alias("view"))
