@@ -226,12 +226,13 @@ def group_near(docs: DataFrame, width: int = 5, percent: int = 80, bands: int =
         roots = components(linked)
 
     # last, what is still apart in a bucket meets all of it
-    mixed_ = materialize(still_mixed().join(sketch, "fp"), "mixed")
+    mixed_ = materialize(still_mixed().join(sketch, "fp").join(classes.select("fp", "bands"), "fp"), "mixed")
+    here = F.col("x.key") == F.array_min(F.array_intersect("x.bands", "y.bands"))  # a pair comes out of one of its buckets only
     cross = mixed_.where("root <> major").alias("x").join(
         mixed_.alias("y"),
-        (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.major")) | (F.col("x.fp") < F.col("y.fp"))) & (apart("x", "y") <= limit),
+        (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.major")) | (F.col("x.fp") < F.col("y.fp"))) & (apart("x", "y") <= limit) & here,
     )
-    cross = cross.select(F.least("x.fp", "y.fp").alias("a"), F.greatest("x.fp", "y.fp").alias("b")).distinct()
+    cross = cross.select(F.least("x.fp", "y.fp").alias("a"), F.greatest("x.fp", "y.fp").alias("b"))
     left = materialize(cross.join(tested, ["a", "b"], "left_anti"), "pairs")
     if not left.isEmpty():
         more = materialize(confirmed(docs, classes, left, width, percent), "links")
