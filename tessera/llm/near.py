@@ -145,7 +145,7 @@ def sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 
 def confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the similarity."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    ends = pairs.select(F.col("a").alias("fp")).distinct().unionByName(pairs.select(F.col("b").alias("fp")).distinct()).distinct()
     own = materialize(sets(docs, classes.join(ends, "fp", "left_semi").select("k1", "k2", "fp"), width), "sets")
     got = pairs.join(own.select(F.col("fp").alias("a"), F.col("own").alias("sa")), "a").join(own.select(F.col("fp").alias("b"), F.col("own").alias("sb")), "b")
     both = F.size(F.array_intersect("sa", "sb"))
