@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, classifier, html, lines, near, packing, rules, search, suffixes
+from . import bpe, classifier, html, lines, near, packing, rules, search, suffixes, units
 from .common import read_table
 
 
@@ -87,3 +87,10 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op1_suffix_dedup"] = op1_suffix_dedup
+
+
+def op9_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return units.dedup_units(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES["op9_unit_dedup"] = op9_unit_dedup
