@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, classifier, html, lines, near, packing, rules, search, suffixes
+from tessera.llm import bpe, classifier, html, lines, near, packing, rules, search, suffixes, units
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, box string, k1 string"
 
@@ -233,6 +233,29 @@ def test_html(spark):
     assert right / total > 0.8
 
 
+def test_unit_dedup(spark, docs, empty):
+    passage = " a passage Of over twenty bytes "
+    odd = [(70, f"x\n{passage}\n{passage.strip().upper()}\nshort"), (71, passage), (71, "other\n" + passage), (72, ""), (73, None)]
+    docs = docs.unionByName(spark.createDataFrame([(i, t, "en", "s", 0, "clash", "clash") for i, t in odd], SCHEMA))
+    rows = sorted(set(every(docs)), key=lambda r: (r[0] is not None, r[0] or 0))
+    key = lambda x: x.strip(" \t\n\x0b\x0c\r").translate({c: c + 32 for c in range(65, 91)}).encode()
+    seen, want = set(), {}
+    for row in rows:
+        spans, at, kept = [], 0, []
+        for line in row[1].split("\n"):
+            k, n = key(line), len(line.encode())
+            if len(k) >= 20 and k in seen:
+                spans.append((at, at + n))
+            else:
+                kept.append(line)
+            seen.add(k)
+            at += n + 1
+        want[row] = (len(row[1].encode()), row[1].count("\n") + 1, len(spans), spans, hashlib.sha256("\n".join(kept).encode()).hexdigest())
+    got = [(r["doc_id"], r["n_bytes"], r["n_units"], r["n_removed"], [tuple(x) for x in r["removed"]], r["kept_sha256"]) for r in units.dedup_units(docs).collect()]
+    assert sorted(got, key=repr) == sorted(((row[0], *want[row]) for row in every(docs)), key=repr)
+    assert units.dedup_units(empty).count() == 0
+
+
 def test_pipeline(spark, docs, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     spark.createDataFrame([(i, 1) for i in range(60)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
