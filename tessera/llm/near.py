@@ -10,7 +10,8 @@ Completeness without all pairs of a group: first every class is compared with le
 buckets, and linked classes form components; then, in buckets that still hold several components, the classes outside the largest
 one are compared with the leaders of these and of the largest; last, those that are still outside are compared with all classes of
 other components in their bucket.  Any linked pair that shares a bucket is then joined or was compared.  Components come from alternating
-large-star and small-star steps on tables in the shared folder.
+large-star and small-star steps on tables in the shared folder; nodes are named so that the classes with most shared buckets, which the
+links of the first comparison lead to, come first, and so most links form stars from the start.
 
 Texts without words have no set and are linked with nothing; shorter texts than a shingle are one shingle.  Null ids get the smallest
 id of their component, or their own null, and are kept only in the latter case.  Repeated rows are links of one another, as copies.
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import binary, boxed, keyed_texts, materialize, slices, unboxed
@@ -132,6 +133,16 @@ def signatures(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
     return keyed_texts(docs).mapInArrow(run, "doc_id long, k1 long, k2 long, n long, fp binary, bands array<long>, sketch array<long>")
 
 
+def node_of(fp: str, weight: str) -> Column:
+    """A class's name among nodes: those with most weight come first, then by fp."""
+    return F.concat(F.unhex(F.lpad(F.hex(F.lit(2**62) - F.col(weight)), 16, "0")), F.col(fp))
+
+
+def print_of(node: str) -> Column:
+    """The fp in a node's name."""
+    return F.expr(f"substring({node}, 9)")
+
+
 def sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """fp, own: the full sets of the classes whose representative rows (k1, k2, fp) are wanted."""
 
@@ -145,26 +156,26 @@ def sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 
 def confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the similarity."""
-    ends = pairs.select(F.col("a").alias("fp")).distinct().unionByName(pairs.select(F.col("b").alias("fp")).distinct()).distinct()
+    ends = pairs.select(print_of("a").alias("fp")).distinct().unionByName(pairs.select(print_of("b").alias("fp")).distinct()).distinct()
     own = materialize(sets(docs, classes.join(ends, "fp", "left_semi").select("k1", "k2", "fp"), width), "sets")
-    got = pairs.join(own.select(F.col("fp").alias("a"), F.col("own").alias("sa")), "a").join(own.select(F.col("fp").alias("b"), F.col("own").alias("sb")), "b")
+    got = pairs.join(own.select(F.col("fp").alias("fa"), F.col("own").alias("sa")), print_of("a") == F.col("fa")).join(own.select(F.col("fp").alias("fb"), F.col("own").alias("sb")), print_of("b") == F.col("fb"))
     both = F.size(F.array_intersect("sa", "sb"))
     return got.where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
 
+def is_stars(edges: DataFrame) -> bool:
+    """Whether each u has one v and no v is an u."""
+    seen = edges.unionByName(edges.select(F.col("v").alias("u"), "v"))
+    return not seen.groupBy("u").agg(F.min("v").alias("least"), F.max("v").alias("most")).where("least <> most").agg(F.count("*")).first()[0]
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """node, root (the smallest node of its component), by alternating large-star and small-star steps."""
+    """node, root (the smallest node of its component) of the nodes that aren't roots, by rounds of a large-star and a small-star step."""
     now = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "star")
-    before = None
-    for _ in range(100):
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == before or not mark[0]:
-            break
-        before = mark
+    while not is_stars(now):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        large = materialize(large.distinct(), "star")
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.withColumnRenamed("m", "v"))
         now = materialize(small.distinct(), "star")
@@ -187,59 +198,59 @@ def group_near(docs: DataFrame, width: int = 5, percent: int = 80, bands: int =
     sizes = member.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     shared = materialize(member.join(sizes, "key"), "buckets")  # only buckets of two classes or more
     weight = shared.groupBy("fp").agg(F.sum("n").alias("weight"))  # a class that shares many buckets is near the middle of its group
-    shared = materialize(shared.join(weight, "fp").select("key", "fp", "weight"), "buckets")
+    shared = materialize(shared.join(weight, "fp").select("key", node_of("fp", "weight").alias("node")), "buckets")
 
     def apart_pairs(pairs: DataFrame) -> DataFrame:
         """(a, b, d) of the distinct pairs whose sketches are near enough."""
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        got = pairs.join(sketch.alias("x"), F.col("a") == F.col("x.fp")).select("a", "b", F.struct(*names).alias("x"))
-        return got.join(sketch.alias("y"), F.col("b") == F.col("y.fp")).select("a", "b", apart("x", "y").alias("d")).where(F.col("d") <= limit)
+        got = pairs.join(sketch.alias("x"), print_of("a") == F.col("x.fp")).select("a", "b", F.struct(*names).alias("x"))
+        return got.join(sketch.alias("y"), print_of("b") == F.col("y.fp")).select("a", "b", apart("x", "y").alias("d")).where(F.col("d") <= limit)
 
     # first, every class meets the leaders of its buckets: the nearest one and the one with most weight
-    leaders = shared.groupBy("key").agg(F.max(F.struct("weight", "fp")).alias("leader"))
-    stars = shared.join(leaders, "key").where("fp <> leader.fp").select("fp", F.col("leader.fp").alias("to"), F.col("leader.weight").alias("weight"))
-    measured = stars.select("fp", "to", "weight").distinct().join(sketch.alias("x"), "fp").select("fp", "to", "weight", F.struct(*names).alias("x"))
-    measured = measured.join(sketch.withColumnRenamed("fp", "to").alias("y"), "to").select("fp", "to", "weight", apart("x", "y").alias("d")).where(F.col("d") <= limit)
-    best = measured.groupBy("fp").agg(F.max_by("to", F.struct("weight", "to")).alias("heavy"), F.min_by("to", F.struct("d", "to")).alias("close"))
-    first = best.select("fp", F.explode(F.array_distinct(F.array("heavy", "close"))).alias("to")).select(F.least("fp", "to").alias("a"), F.greatest("fp", "to").alias("b"))
+    leaders = shared.groupBy("key").agg(F.min("node").alias("to"))
+    stars = shared.join(leaders, "key").where("node <> to").select("node", "to").distinct()
+    measured = stars.join(sketch.alias("x"), print_of("node") == F.col("x.fp")).select("node", "to", F.struct(*names).alias("x"))
+    measured = measured.join(sketch.alias("y"), print_of("to") == F.col("y.fp")).select("node", "to", apart("x", "y").alias("d")).where(F.col("d") <= limit)
+    best = measured.groupBy("node").agg(F.min("to").alias("heavy"), F.min_by("to", F.struct("d", "to")).alias("close"))
+    first = best.select("node", F.explode(F.array_distinct(F.array("heavy", "close"))).alias("to")).select(F.least("node", "to").alias("a"), F.greatest("node", "to").alias("b"))
     tested = materialize(first.distinct(), "pairs")
     linked = materialize(confirmed(docs, classes, tested, width, percent), "links")
     roots = components(linked)
 
     def still_mixed() -> DataFrame:
-        """key, fp, weight, root, major of the buckets that hold several components."""
-        placed = shared.join(roots, F.col("fp") == F.col("node"), "left").select("key", "fp", "weight", F.coalesce("root", "fp").alias("root"))
+        """key, node, root, major of the buckets that hold several components."""
+        placed = shared.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
         counted = placed.groupBy("key", "root").agg(F.count("*").alias("n"))
         major = counted.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("major"), F.count("*").alias("roots")).where("roots > 1").select("key", "major")
         return placed.join(major, "key")
 
     # then, the classes outside the largest component of a bucket meet the leaders of what remains, and of the largest component
     rest = still_mixed()
-    heads = rest.groupBy("key").agg(F.max(F.when(F.col("root") != F.col("major"), F.struct("weight", "fp", "root"))).alias("own"), F.max(F.when(F.col("root") == F.col("major"), F.struct("weight", "fp", "root"))).alias("other"))
-    outside = rest.where("root <> major").join(heads, "key").select("fp", "root", F.explode(F.array("own", "other")).alias("to")).where("root <> to.root")
-    again = apart_pairs(outside.select(F.col("fp").alias("a"), F.col("to.fp").alias("b"))).select("a", "b").join(tested, ["a", "b"], "left_anti")
+    heads = rest.groupBy("key").agg(F.min(F.when(F.col("root") != F.col("major"), F.struct("node", "root"))).alias("own"), F.min(F.when(F.col("root") == F.col("major"), F.struct("node", "root"))).alias("other"))
+    outside = rest.where("root <> major").join(heads, "key").select("node", "root", F.explode(F.array("own", "other")).alias("to")).where("root <> to.root")
+    again = apart_pairs(outside.select(F.col("node").alias("a"), F.col("to.node").alias("b"))).select("a", "b").join(tested, ["a", "b"], "left_anti")
     again = materialize(again, "pairs")
     more = materialize(confirmed(docs, classes, again, width, percent), "links")
     tested = tested.unionByName(again)
     if not more.isEmpty():
-        linked = linked.unionByName(more)
-        roots = components(linked)
+        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
 
     # last, what is still apart in a bucket meets all of it
-    mixed_ = materialize(still_mixed().join(sketch, "fp").join(classes.select("fp", "bands"), "fp"), "mixed")
+    mixed_ = materialize(still_mixed().withColumn("fp", print_of("node")).join(sketch, "fp").join(classes.select("fp", "bands"), "fp"), "mixed")
     here = F.col("x.key") == F.array_min(F.array_intersect("x.bands", "y.bands"))  # a pair comes out of one of its buckets only
     cross = mixed_.where("root <> major").alias("x").join(
         mixed_.alias("y"),
-        (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.major")) | (F.col("x.fp") < F.col("y.fp"))) & (apart("x", "y") <= limit) & here,
+        (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.major")) | (F.col("x.node") < F.col("y.node"))) & (apart("x", "y") <= limit) & here,
     )
-    cross = cross.select(F.least("x.fp", "y.fp").alias("a"), F.greatest("x.fp", "y.fp").alias("b"))
+    cross = cross.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
     left = materialize(cross.join(tested, ["a", "b"], "left_anti"), "pairs")
     if not left.isEmpty():
         more = materialize(confirmed(docs, classes, left, width, percent), "links")
         if not more.isEmpty():
-            roots = components(linked.unionByName(more))
+            roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
 
-    rooted = classes.select("fp", "min_id").join(roots, F.col("fp") == F.col("node"), "left").select("fp", "min_id", F.coalesce("root", "fp").alias("root"))
+    placed = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()).select(print_of("node").alias("fp"), "root")
+    rooted = classes.select("fp", "min_id").join(placed, "fp", "left").select("fp", "min_id", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("min_id").alias("component_id"))
     found = rooted.join(least, "root").select("fp", "component_id", "root")
     out = rows_.select("doc_id", "n", "fp", "k1", "k2").join(found, "fp", "left")
