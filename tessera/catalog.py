@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import concentration, corpus, prompts
+from .plans import annotations, concentration, corpus, prompts
 from .plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "concentration", "corpus", "prompts"]
+__all__ = ["ORACLES", "QUERIES", "annotations", "concentration", "corpus", "prompts"]
