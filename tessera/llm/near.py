@@ -3,7 +3,7 @@
 A document's set holds its distinct word shingles as 64-bit hashes.  Documents with equal sets form a class, and only one row a class
 goes on.  MinHash samples make band keys; classes that share a band key are candidates.  The samples are also folded into an odd
 sketch, a bitmap in which each sample toggles one bit: the population count of the XOR of two sketches estimates how many samples
-differ, precisely where similarity is high.  Candidates within the count that the threshold allows (with five deviations to spare)
+differ, precisely where similarity is high.  Candidates within the count that the threshold allows (with four deviations to spare)
 are confirmed on the full sets.
 
 Completeness without all pairs of a group: first every class is compared with leaders of its buckets, the classes that share most
