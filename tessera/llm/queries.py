@@ -90,7 +90,7 @@ QUERIES["op1_suffix_dedup"] = op1_suffix_dedup
 
 
 def op9_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return units.dedup_units(read_table(spark, sf_dir, "documents"))
+    return units.dedup_units(read_table(spark, sf_dir, "documents"), least=1)
 
 
 QUERIES["op9_unit_dedup"] = op9_unit_dedup

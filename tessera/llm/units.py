@@ -1,7 +1,8 @@
 """Substring dedup by line hashing: the earliest occurrence of a line stays, the others go, with their original offsets kept.
 
-A unit is a line, normalised as in lines.line_keys; units of fewer than `least` bytes stay. Occurrences are ranked by (doc_id, text hash,
-line number), null ids first. Rows equal in id and text rank alike, so they keep the same lines. Null texts are empty.
+A unit is a line, normalised as in lines.line_keys; units whose key is shorter than `least` bytes stay (op9 gives 1: only empty keys
+stay). Occurrences are ranked by (doc_id, text hash, line number), null ids first. Rows equal in id and text rank alike, so they keep
+the same lines. Null texts are empty.
 """
 
 from __future__ import annotations
