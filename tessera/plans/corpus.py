@@ -127,6 +127,20 @@ def power_buckets(spark, sf_dir):
     return d.where(F.col("n_chars").bitwiseAND(F.lit(4095)).bitwiseAND(bit) != 0).select("doc_id", "exponent", F.expr("shiftleft(shiftright(n_chars, exponent + 1), exponent + 1)").alias("start"))
 
 
+def capped_powers(rows, length, low, high):
+    """doc_id, exponent, start: pieces of 2^high characters first, then one for each bit of the rest from 2^low on, largest first."""
+    whole = F.expr(f"transform(slice(sequence(0L, shiftright({length}, {high})), 1, int(shiftright({length}, {high}))), i -> struct({high} AS exponent, shiftleft(i, {high}) AS start))")
+    bits = F.expr(f"transform(filter(sequence({low}, {high} - 1), p -> ({length} & shiftleft(1L, p)) <> 0), p -> struct(p AS exponent, shiftleft(shiftright({length}, p + 1), p + 1) AS start))")
+    return rows.select("doc_id", F.explode(F.concat(whole, bits)).alias("x")).select("doc_id", "x.exponent", "x.start")
+
+
+@query("""SELECT doc_id, 11 AS exponent, unnest(range(n_chars // 2048)) * 2048 AS start FROM documents
+UNION ALL SELECT doc_id, p::INT AS exponent, (n_chars >> (p + 1)) << (p + 1) AS start FROM documents, range(5, 11) x(p) WHERE (n_chars & (1 << p)) <> 0""")
+def power_pieces(spark, sf_dir):
+    """All of a document: powers above the cap of 2^11 become pieces of the cap. power_buckets is its part of n_chars % 4096."""
+    return capped_powers(table(spark, sf_dir, "documents"), "n_chars", 5, 11)
+
+
 @query("""WITH c AS (SELECT source, count(*) AS docs, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY 1)
 SELECT source, docs, chars, round(100.0 * docs / sum(docs) OVER (), 6)::DOUBLE AS docs_pct, round(100.0 * chars / sum(chars) OVER (), 6)::DOUBLE AS chars_pct FROM c""")
 def source_token_stats(spark, sf_dir):
