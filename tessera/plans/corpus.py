@@ -183,6 +183,22 @@ def constraint_checks(spark, sf_dir):
     )
 
 
+#: What Python's str.split() splits at, and its \w; Java's and DuckDB's own classes are others.
+SPACE, WORD = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+", r"[\p{L}\p{N}_]"
+
+
+@query()
+def constraint_checks_all(spark, sf_dir):
+    """constraint_checks of every document, whatever its characters; a null text is empty. No SQL: case mappings differ (upper of \u00df)."""
+    t = F.coalesce("text", F.lit(""))
+    n = lambda c: c.cast("long")
+    count = lambda pattern: n(F.regexp_count(t, F.lit(pattern)))
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", t.contains("the").alias("keyword"), count(f"(?<!{WORD})[Tt][Hh][Ee](?!{WORD})").alias("frequency"), count("[Ee]").alias("letters"), (~t.contains(",")).alias("no_commas"),
+        (t == F.lower(t)).alias("is_lower"), (t == F.upper(t)).alias("is_upper"), n(F.size(F.filter(F.split(t, SPACE), lambda w: w != ""))).alias("words"), count(r"\*[^*\n]+\*").alias("highlights"),
+    )
+
+
 @query("SELECT doc_id, round(1 - abs(length(text) - 1500) / 1500.0::DOUBLE, 6) AS reward, round(CASE WHEN length(text) >= 1500 THEN 1.0 ELSE length(text) / 1500.0::DOUBLE END, 6) AS up_to FROM documents")
 def length_reward(spark, sf_dir):
     n = F.length("text")

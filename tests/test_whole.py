@@ -1,6 +1,13 @@
 """Queries that cover their whole table, against brute force."""
 
+import re
+
+from pyspark.sql import functions as F
+
 from tessera.plans import corpus
+from tessera.plans.registry import QUERIES
+
+SF = "/root/testdata/sf0.001"
 
 
 def test_powers_over_the_cap(spark):
@@ -16,3 +23,22 @@ def test_powers_over_the_cap(spark):
     for i, n in enumerate(lengths):  # one after the other, largest first, all but the last n % 32
         assert [s for s, _ in pieces[i]] == [sum(k for _, k in pieces[i][:j]) for j in range(len(pieces[i]))]
         assert sum(k for _, k in pieces[i]) == n // 32 * 32 and all(k <= 2048 for _, k in pieces[i])
+
+
+def checks(t):
+    """As the reference's checkers count: str.lower, str.upper, str.split and Python's word edges."""
+    return (
+        "the" in t, sum(w == "the" for w in re.findall(r"\b\w+\b", t.lower())), t.lower().count("e"), "," not in t,
+        t == t.lower(), t == t.upper(), len(t.split()), len(re.findall(r"\*[^*\n]+\*", t)),
+    )
+
+
+def test_constraints_of_any_text(spark, tmp_path):
+    columns = ["keyword", "frequency", "letters", "no_commas", "is_lower", "is_upper", "words", "highlights"]
+    odd = [None, "", "über the Theé thé the", "STRASSE ß", "ÄÖÜ É", "äöü é", "a b c\x1cd\x85e​f", "thé _the the1 the² THE中 the", "İ the", "ΑΣ ας", "*ä* *b\nc* **", "中文,the。", "ﬁ Ŀ ǅ"]
+    rows = [(i, t) for i, t in enumerate(odd)] + [(100 + r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: tuple(r[c] for c in columns) for r in QUERIES["constraint_checks_all"](spark, str(tmp_path)).collect()}
+    assert got == {i: checks(t or "") for i, t in rows}
+    ascii_only = {r["doc_id"]: tuple(r[c] for c in columns) for r in QUERIES["constraint_checks"](spark, str(tmp_path)).where(F.col("doc_id") >= 100).collect()}
+    assert ascii_only and all(got[i] == x for i, x in ascii_only.items())
