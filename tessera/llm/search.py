@@ -3,8 +3,8 @@
 Candidates are dealt by range of their length into buckets, longest first within a task.  For a query q with the current k-th score t
 in the task, a bucket whose longest vector is l can only help where the local cosine threshold c = t / (|q| l) is at most 1.  Per
 bucket and query group the pruning is chosen from c: below `switch` by length (only candidates with |q| |p| >= t are verified), above
-it by coordinates (on the query's largest coordinates, a unit candidate p with cos(q, p) >= c must have p_f within
-q_f c +- sqrt((1 - c^2)(1 - q_f^2))).  What is left is verified by its exact integer product.  Queries come in blocks of bounded
+it by coordinates (on the query's largest coordinates, a unit candidate p with cos(q, p) >= c must have p_f of at least
+q_f c - sqrt((1 - c^2)(1 - q_f^2)) if q_f >= -c, and always within sqrt(2 (1 - c)) of q_f).  What is left is verified by its exact integer product.  Queries come in blocks of bounded
 size that are broadcast one after the other; every task returns at most k rows a query, and one more top-k joins the tasks.
 
 Components x become floor(256 x).  Vectors that are null, or hold null or non-finite components, take no part; an empty vector has
@@ -97,7 +97,8 @@ def search_bucket(best: Best, q: np.ndarray, q_norm: np.ndarray, p: np.ndarray,
         keep = np.ones(len(p), bool)
         for f in np.argsort(-np.abs(u))[:focus].tolist():
             reach = np.sqrt(max(0.0, (1 - cut * cut) * (1 - u[f] * u[f]))) + SLACK
-            keep &= unit[:, f] >= u[f] * cut - reach  # a vector may be closer than the threshold: between it and q itself
+            if u[f] >= -cut:  # else the cap around q holds the negative end of the axis, and no lower bound is right
+                keep &= unit[:, f] >= u[f] * cut - reach  # a vector may be closer than the threshold: between it and q itself
             keep &= unit[:, f] <= u[f] + np.sqrt(max(0.0, 2 * (1 - cut))) + SLACK
             keep &= unit[:, f] >= u[f] - np.sqrt(max(0.0, 2 * (1 - cut))) - SLACK
         own = np.flatnonzero(keep)

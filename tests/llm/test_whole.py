@@ -2,7 +2,9 @@
 
 import hashlib
 
-from tessera.llm import queries
+import numpy as np
+
+from tessera.llm import queries, search
 
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -14,3 +16,21 @@ def test_unit_dedup_takes_short_lines(spark, tmp_path):
     assert [[tuple(x) for x in r["removed"]] for r in got] == [[], [(0, 4)], [(3, 5), (6, 8)]]
     kept = ["ok\n\nfirst", "ä\n\n", "Ä\nlast"]  # the first of a line stays, and empty lines do
     assert [r["kept_sha256"] for r in got] == [hashlib.sha256(t.encode()).hexdigest() for t in kept]
+
+
+def test_search_with_a_negative_axis():
+    rng = np.random.default_rng(3)
+    for d in (2, 3, 16):  # the longest rows are 0.65 rad off the axis, which all others and the queries are near
+        p = rng.normal(0, 0.02, (900, d))
+        off = np.where(np.arange(900) < 830, rng.uniform(-0.1, 0.1, 900), 0.65)
+        p[:, 0], p[:, 1] = -np.cos(off), p[:, 1] + np.sin(off)
+        p = np.floor(256 * 40 * p * np.where(np.arange(900) < 830, rng.uniform(1, 1.04, 900), 1.1)[:, None])
+        norm, q = np.linalg.norm(p, axis=1), p[:60].copy()
+        order = np.argsort(-norm, kind="stable")
+        best = search.Best(np.arange(60), 5)
+        for at in range(0, 900, 64):
+            own = order[at : at + 64]
+            search.search_bucket(best, q, np.linalg.norm(q, axis=1), p[own], norm[own], own)
+        for i in range(60):
+            want = sorted((-int(q[i] @ p[j]), j) for j in range(900) if j != i)[:5]
+            assert list(zip((-best.score[i]).tolist(), best.who[i].tolist())) == want, (d, i)
