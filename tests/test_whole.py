@@ -1,9 +1,11 @@
 """Queries that cover their whole table, against brute force."""
 
+import random
 import re
 
 from pyspark.sql import functions as F
 
+from tessera.operators import selection
 from tessera.plans import corpus
 from tessera.plans.registry import QUERIES
 
@@ -42,3 +44,22 @@ def test_constraints_of_any_text(spark, tmp_path):
     assert got == {i: checks(t or "") for i, t in rows}
     ascii_only = {r["doc_id"]: tuple(r[c] for c in columns) for r in QUERIES["constraint_checks"](spark, str(tmp_path)).where(F.col("doc_id") >= 100).collect()}
     assert ascii_only and all(got[i] == x for i, x in ascii_only.items())
+
+
+def test_greedy_walks_long_chains(spark):
+    n = 120  # i is linked with i + 1: two ids are decided a round
+    nodes, links = spark.range(n).withColumnRenamed("id", "vec_id"), spark.createDataFrame([(i, i + 1) for i in range(n - 1)], "a long, b long")
+    want = list(range(0, n, 2))
+    assert sorted(r["id"] for r in selection.greedy_keep(nodes, links).collect()) == want
+
+
+def test_greedy_in_rounds(spark):
+    rng = random.Random(9)
+    pairs = sorted({tuple(sorted(rng.sample(range(80), 2))) for _ in range(150)})
+    kept = []
+    for i in range(80):
+        if not any((k, i) in pairs for k in kept):
+            kept.append(i)
+    nodes, links = spark.range(80).withColumnRenamed("id", "vec_id"), spark.createDataFrame([(b, a) for a, b in pairs], "a long, b long")
+    for most in (0, 40):  # rounds to the end; rounds, then a walk
+        assert sorted(r["id"] for r in selection.greedy_keep(nodes, links, most).collect()) == kept
