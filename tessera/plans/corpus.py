@@ -16,6 +16,26 @@ def line_repeats(spark, sf_dir):
     return p.groupBy("doc_id", "item").agg(F.count("*").alias("n")).where("n > 1").groupBy("doc_id").agg(F.count("*").alias("repeated_items"), F.max("n").alias("most"))
 
 
+def _repeats(spark, sf_dir, mark, least):
+    p = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", mark)).alias("l")).select("doc_id", F.trim("l").alias("item")).where(F.length("item") >= least)
+    return p.groupBy("doc_id", "item").agg(F.count("*").alias("n")).where("n > 1").groupBy("doc_id").agg(F.count("*").alias("repeated_items"), F.max("n").alias("most"))
+
+
+REPEATS = """WITH p AS (SELECT doc_id, trim(unnest(string_split(text, {mark}))) AS item FROM documents), c AS (SELECT doc_id, item, count(*) AS n FROM p WHERE length(item) >= {least} GROUP BY 1, 2)
+SELECT doc_id, count(*) AS repeated_items, max(n) AS most FROM c WHERE n > 1 GROUP BY 1"""
+
+
+@query(REPEATS.format(mark="chr(10)", least=5))
+def line_repeats_all(spark, sf_dir):
+    """Lines of 5 code points and more, as the reference takes them; line_repeats takes those of 10."""
+    return _repeats(spark, sf_dir, "\n", 5)
+
+
+@query(REPEATS.format(mark="chr(10) || chr(10)", least=10))
+def paragraph_repeats(spark, sf_dir):
+    return _repeats(spark, sf_dir, "\n\n", 10)
+
+
 @query(r"""WITH p AS (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents), g AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, l ORDER BY i) AS island FROM p WHERE length(l) >= 10)
 SELECT doc_id, max(n) AS longest_run FROM (SELECT doc_id, l, island, count(*) AS n FROM g GROUP BY 1, 2, 3) GROUP BY 1 HAVING max(n) > 1""")
 def consecutive_repeats(spark, sf_dir):

@@ -63,3 +63,11 @@ def test_greedy_in_rounds(spark):
     nodes, links = spark.range(80).withColumnRenamed("id", "vec_id"), spark.createDataFrame([(b, a) for a, b in pairs], "a long, b long")
     for most in (0, 40):  # rounds to the end; rounds, then a walk
         assert sorted(r["id"] for r in selection.greedy_keep(nodes, links, most).collect()) == kept
+
+
+def test_repeats_of_short_lines(spark, tmp_path):
+    rows = [(1, "12345\n12345 \nx\nx"), (2, "1234\n1234"), (3, "0123456789\n\n0123456789\n\n12345\n\n12345")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = lambda name: sorted(map(tuple, QUERIES[name](spark, str(tmp_path)).select("doc_id", "repeated_items", "most").collect()))
+    assert got("line_repeats_all") == [(1, 1, 2), (3, 2, 2)]
+    assert got("paragraph_repeats") == [(3, 1, 2)]
