@@ -3,7 +3,7 @@
 A line's key is the line with ASCII white space stripped at both ends and A-Z lower-cased; its digest is 128 bits.  The reference
 count of a digest is the number of document rows that hold it; it lives in an exact table (digest, n_docs).  Every shard keeps a
 cuckoo filter of the digests at or above the threshold.  Documents can be inserted and deleted: counts move up and down, digests
-enter and leave the filter of their shard.  A line is dropped if the filter of its shard holds it and the exact table confirms it;
+enter and leave the stored filter of their shard, which is built anew only if it has no room.  A line is dropped if the filter of its shard holds it and the exact table confirms it;
 a filter alone never decides.  Filters are broadcast while their total size is below a checked bound; beyond it every line goes to
 the exact table, which gives the same rows.
 
@@ -136,8 +136,14 @@ def merge_counts(*tables: DataFrame) -> DataFrame:
     return out.groupBy("digest").agg(F.sum("n_docs").alias("n_docs")).where("n_docs > 0")
 
 
-def build_filters(frequent: DataFrame, shards: int) -> DataFrame:
-    """(shard, filter): a cuckoo filter for every shard of the frequent digests."""
+def sharded(digests: DataFrame, shards: int) -> DataFrame:
+    """The rows with the shard of their digest."""
+    shard = F.udf(lambda d: int(shard_of([bytes(d)], shards)[0]), "int") if shards > 1 else None
+    return digests.withColumn("shard", shard("digest") if shard else F.lit(0))
+
+
+def build_filters(frequent: DataFrame, shards: int, only: list[int] | None = None) -> DataFrame:
+    """(shard, filter): a cuckoo filter for every shard of the frequent digests, or for those named only."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         digests = sorted(map(bytes, pdf["digest"]))
@@ -145,37 +151,72 @@ def build_filters(frequent: DataFrame, shards: int) -> DataFrame:
         own.insert(digests)
         return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "filter": [own.dump()]})
 
-    shard = F.udf(lambda d: int(shard_of([bytes(d)], shards)[0]), "int") if shards > 1 else None
-    table = frequent.select("digest", (shard("digest") if shard else F.lit(0)).alias("shard"))
+    table = sharded(frequent.select("digest"), shards)
+    if only is not None:
+        table = table.where(F.col("shard").isin(only))
     return table.groupBy("shard").applyInPandas(run, "shard int, filter binary")
 
 
+def update_filters(filters: DataFrame, moved: DataFrame, frequent: DataFrame, shards: int) -> DataFrame:
+    """filters after the digests of moved (digest, enters) have entered or left; only filters without room are built anew."""
+
+    def run(key: tuple, own: pd.DataFrame, moves: pd.DataFrame) -> pd.DataFrame:
+        if not len(moves):
+            return own[["shard", "filter"]]
+        blob = None
+        if len(own):
+            f = CuckooFilter.load(bytes(own["filter"].iloc[0]))
+            come, go = [sorted(map(bytes, moves.loc[moves["enters"] == x, "digest"])) for x in (True, False)]
+            # What is spilled is a set, from which equal fingerprints can't be taken one by one.
+            if not f.spilled and np.count_nonzero(f.slots) + len(come) - len(go) <= 0.9 * f.slots.size:
+                if go:
+                    f.delete(go)
+                if come:
+                    f.insert(come)
+                blob = None if f.spilled else f.dump()
+        return pd.DataFrame({"shard": [int(key[0])], "filter": [blob]})
+
+    done = materialize(filters.groupBy("shard").cogroup(sharded(moved, shards).groupBy("shard")).applyInPandas(run, "shard int, filter binary"), "filters")
+    full = [r["shard"] for r in done.where("filter IS NULL").select("shard").collect()]
+    return materialize(done.where("filter IS NOT NULL").unionByName(build_filters(frequent, shards, full)), "filters") if full else done
+
+
 class LineIndex:
-    """Reference counts and filters of a corpus; insert() and delete() return a new index, so any step can be taken back."""
+    """Reference counts of all lines and stored filters of a corpus; insert() and delete() return a new index, so any step can be taken back."""
 
-    def __init__(self, counts: DataFrame, least: int = 10):
+    def __init__(self, counts: DataFrame, least: int = 10, shards: int = 0, filters: DataFrame | None = None):
+        """counts: materialized, of every digest, so that one below the threshold can come to it."""
         self.counts, self.least = counts, least
+        self.frequent = materialize(counts.where(F.col("n_docs") >= least).select("digest"), "frequent")
+        self.total = self.frequent.count()
+        self.shards = shards or max(1, -(-self.total // SHARD_KEYS))
+        self.filters = materialize(build_filters(self.frequent, self.shards), "filters") if filters is None else filters
 
     @staticmethod
     def build(docs: DataFrame, least: int = 10) -> LineIndex:
-        return LineIndex(count_lines(docs), least)
+        return LineIndex(materialize(count_lines(docs), "lines"), least)
 
     def insert(self, docs: DataFrame) -> LineIndex:
-        return LineIndex(materialize(merge_counts(self.counts, count_lines(docs)), "lines"), self.least)
+        return self._moved(count_lines(docs))
 
     def delete(self, docs: DataFrame) -> LineIndex:
-        return LineIndex(materialize(merge_counts(self.counts, count_lines(docs, -1)), "lines"), self.least)
+        return self._moved(count_lines(docs, -1))
+
+    def _moved(self, change: DataFrame) -> LineIndex:
+        change = materialize(change, "change")
+        out = LineIndex(materialize(merge_counts(self.counts, change), "lines"), self.least, self.shards, self.filters)
+        old = F.coalesce(self.counts["n_docs"], F.lit(0))
+        both = change.withColumnRenamed("n_docs", "by").join(self.counts, "digest", "left").select("digest", (old >= self.least).alias("was"), (old + F.col("by") >= self.least).alias("enters"))
+        out.filters = update_filters(self.filters, both.where("was <> enters").select("digest", "enters"), out.frequent, self.shards)
+        return out
 
     def apply(self, docs: DataFrame, with_text: bool = False, extra: tuple[str, ...] = ()) -> DataFrame:
         """doc_id, n_lines, n_dropped, kept_sha256 (and text, with the columns named in extra) of every row of docs under this index."""
         spark = docs.sparkSession
-        frequent = materialize(self.counts.where(F.col("n_docs") >= self.least).select("digest"), "frequent")
-        total = frequent.count()
-        shards = max(1, -(-total // SHARD_KEYS))
+        frequent, shards = self.frequent, self.shards
         blobs = None
-        if total * 8 <= MOST_BROADCAST:  # 2.5 to 5 bytes a digest
-            found = build_filters(frequent, shards).collect()
-            blobs = spark.sparkContext.broadcast({r["shard"]: bytes(r["filter"]) for r in found})
+        if self.total * 8 <= MOST_BROADCAST:  # 2.5 to 5 bytes a digest
+            blobs = spark.sparkContext.broadcast({r["shard"]: bytes(r["filter"]) for r in self.filters.collect()})
         keyed = keyed_texts(docs)
 
         def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,5 +272,4 @@ class LineIndex:
 
 def dedup_lines(docs: DataFrame, least: int = 10, with_text: bool = False, extra: tuple[str, ...] = ()) -> DataFrame:
     """Drop every line whose key at least `least` documents hold."""
-    index = LineIndex(materialize(count_lines(docs).where(F.col("n_docs") >= least), "lines"), least)
-    return index.apply(docs, with_text, extra)
+    return LineIndex.build(docs, least).apply(docs, with_text, extra)

@@ -4,7 +4,7 @@ import hashlib
 
 import numpy as np
 
-from tessera.llm import queries, search
+from tessera.llm import lines, queries, search
 
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -34,3 +34,29 @@ def test_search_with_a_negative_axis():
         for i in range(60):
             want = sorted((-int(q[i] @ p[j]), j) for j in range(900) if j != i)[:5]
             assert list(zip((-best.score[i]).tolist(), best.who[i].tolist())) == want, (d, i)
+
+
+def test_lines_move_in_stored_filters(spark, monkeypatch):
+    monkeypatch.setattr(lines, "SHARD_KEYS", 40)
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    base = [(i, "\n".join(f"line {j}" for j in range(150) if i < 3 or j >= 50 and i < 2 + j % 2)) for i in range(4)]
+    more = [(10, "line 7\nnew line"), (11, "line 8\nline 9\nnew line"), (12, "new line\nline 60\nline 61")]
+    answer = lambda index, docs: sorted(map(tuple, index.apply(docs).collect()))
+    both = frame(base + more)
+    now = lines.LineIndex.build(frame(base), 3)
+    assert now.shards > 1
+    was, rebuilt, fewer = answer(now, both), answer(lines.LineIndex.build(both, 3), both), answer(lines.LineIndex.build(frame(base[1:] + more), 3), both)
+    assert was != rebuilt != fewer
+    full = []
+    build = lines.build_filters
+    monkeypatch.setattr(lines, "build_filters", lambda f, s, only=None: full.append(only) or build(f, s, only))
+    grown = now.insert(frame(more))
+    assert answer(grown, both) == rebuilt
+    assert answer(grown.delete(frame(base[:1])), both) == fewer
+    assert answer(grown.delete(frame(more)), both) == was
+    assert None not in full  # none built all filters anew
+    for index in (grown, grown.delete(frame(more))):
+        held = {r["shard"]: lines.CuckooFilter.load(bytes(r["filter"])) for r in index.filters.collect()}
+        digests = [bytes(r["digest"]) for r in index.frequent.collect()]
+        assert all(held[s].holds([d])[0] for d, s in zip(digests, lines.shard_of(digests, index.shards).tolist()))
+        assert sum(int((f.slots > 0).sum()) + len(f.spilled) for f in held.values()) == len(digests)
