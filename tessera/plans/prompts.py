@@ -126,7 +126,7 @@ def family_size(spark, sf_dir):
 
 @query()  # tested against a sequential walk: a recursive query over the walk is too slow
 def greedy_select(spark, sf_dir):
-    return ops.greedy_keep(table(spark, sf_dir, "embeddings"), _pairs(spark, sf_dir).persist())
+    return ops.greedy_keep(table(spark, sf_dir, "embeddings"), _pairs(spark, sf_dir))
 
 
 @query("SELECT doc_id, text_id, copies FROM (SELECT doc_id, min(doc_id) OVER w AS text_id, count(*) OVER w AS copies FROM documents WINDOW w AS (PARTITION BY text)) WHERE doc_id = text_id")
