@@ -2,49 +2,52 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute  # noqa: F401  (pa.compute is used below)
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.shared import drop_materialized, materialize
+
+__all__ = ["binary", "boxed", "drop_materialized", "frequent_keys", "keyed_texts", "materialize", "read_table", "row_or_key", "schema_with", "slices", "small_batches", "unboxed"]
+
+#: Bytes of the Arrow batches that workers get.
+BATCH_BYTES = 1 << 20
+#: Keys that may be called frequent: those with more than one in so many rows, so there are never more of them.
+MOST_FREQUENT = 10_000
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a local one only where the setting is absent."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("tessera.shared.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("tessera.shared.dir", found)
-    return found.rstrip("/")
+def small_batches(df: DataFrame) -> DataFrame:
+    """df; its session from now on cuts Arrow batches at BATCH_BYTES, unless it has set a bound of its own. By default a batch is
+    10,000 rows, of any size: an executor's allocator keeps buffers of tens of MB for every thread that once had one."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(key, "64m") in ("64m", "64MB", "67108864", "67108864b"):
+        conf.set(key, f"{BATCH_BYTES}b")
+    return df
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends there, and a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/llm-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def frequent_keys(counts: DataFrame, keys: list[str], n: str) -> DataFrame:
+    """The keys of counts (keys, n) with more than one in MOST_FREQUENT of all rows: by arithmetic at most MOST_FREQUENT keys, so the
+    result may be broadcast whatever the table's size."""
+    total = counts.agg(F.sum(n)).first()[0] or 0
+    return materialize(counts.where(F.col(n) > max(1, total // MOST_FREQUENT)).select(*keys), "frequent")
 
 
-def drop_materialized(spark: SparkSession, df: DataFrame) -> None:
-    """Delete the files of a materialized table once nothing reads it any more."""
-    jvm = spark.sparkContext._jvm
-    for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-        if "/llm-" in f:
-            path = jvm.org.apache.hadoop.fs.Path(f)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def row_or_key(key: str, hot: Column) -> Column:
+    """The key to join by: the key itself, or a number of the row's own where the row is hot (and needs no partner)."""
+    return F.when(hot, F.xxhash64(F.monotonically_increasing_id(), F.lit("row"))).otherwise(F.col(key))
 
 
 def keyed_texts(docs: DataFrame, *extra: str) -> DataFrame:
     """doc_id, text and a key (k1, k2) that is never null and equal only for rows with equal doc_id and equal text."""
-    return docs.select(
+    return small_batches(docs).select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("text"), F.lit("")).alias("text"),
         *extra,
@@ -97,6 +100,3 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most_bytes:
                 start, total = i, 0
             total += s
         yield batch.slice(start)
-
-
-import pyarrow.compute  # noqa: E402,F401  (pa.compute is used above)

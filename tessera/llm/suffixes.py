@@ -11,7 +11,13 @@ contexts go through it once.  A minimizer with very many different contexts is s
 around it, keyed by the bytes that these share) until a group is small or holds single strings, so no task holds an unbounded group.
 
 Texts are UTF-8 bytes; null is empty; texts under `least` bytes keep everything.  A text that occurs in two rows or more repeats as
-a whole.  Null ids and repeated rows pass through, one output row each.
+a whole.  Null ids and repeated rows pass through, one output row each.  Very long texts are searched in parts that overlap by
+`least` - 1 bytes, so that every string lies in exactly one; an empty table gives no rows.  There are no ties: a byte goes or stays by
+the counts alone.  Other columns pass only where they are named in `extra`, as one struct, so their names can't clash.
+
+A text is named by 64 bits (th) and 22 more, which lie above the offset in every place (pos, start, end), so that a place names its
+text again.  Texts that more than one in 10,000 rows share (at most 10,000 texts) are dealt over all tasks in the last join: they
+repeat as a whole and need no ranges.
 """
 
 from __future__ import annotations
@@ -25,16 +31,20 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary, materialize, schema_with, slices
+from .common import binary, drop_materialized, frequent_keys, materialize, row_or_key, schema_with, slices, small_batches
 from .near import mixed
 
 #: Bytes of one text that are searched for minimizers at once; longer texts are read in overlapping parts.
-PART = 1 << 20
+PART = 1 << 17
 #: Contexts of one minimizer that one transform takes; beyond it the group is split into cells.
 MOST_CONTEXTS = 4000
 #: Places of a minimizer in its strings are split by these widths, one after the other, where a group is too large.
 CELLS = (64, 16, 4, 1)
 BASE = 0x9E3779B97F4A7C15 | 1
+#: Bits of an offset in a text; more bits of the text's name lie above them.
+OFFSET = 41
+#: Contexts that a task remembers, to know those that it has met.
+MOST_SEEN = 200_000
 
 
 def _powers(n: int, base: int) -> np.ndarray:
@@ -48,7 +58,7 @@ def _powers(n: int, base: int) -> np.ndarray:
     return out
 
 
-_TABLES: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_TABLES: list[tuple[np.ndarray, np.ndarray]] = []
 
 
 def runs(text: np.ndarray, least: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -56,10 +66,10 @@ def runs(text: np.ndarray, least: int, anchor: int) -> tuple[np.ndarray, np.ndar
     n = len(text)
     if n < least:
         return (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),)
-    size = 1 << max(12, int(n).bit_length())
-    if size not in _TABLES:
-        _TABLES[size] = _powers(size, BASE), _powers(size, pow(BASE, -1, 2**64))
-    up, down = _TABLES[size]
+    if not _TABLES or len(_TABLES[0][0]) < n:
+        size = max(PART, n)
+        _TABLES[:] = [(_powers(size, BASE), _powers(size, pow(BASE, -1, 2**64)))]
+    up, down = _TABLES[0]
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum((text.astype(np.uint64) + np.uint64(1)) * down[:n], out=sums[1:])
     hashes = mixed((sums[anchor:] - sums[: n - anchor + 1]) * up[: n - anchor + 1])
@@ -182,16 +192,16 @@ def find_runs(texts: DataFrame, least: int, anchor: int) -> DataFrame:
     has been seen at another place are done and are dealt evenly, so that a context that many texts share isn't a hot key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        met: set[int] = set()
+        met: set[tuple[int, int]] = set()
         seen: dict[int, int] = {}
         digest = xxhash.xxh3_64_intdigest
-        for b in slices(batches):
+        for b in slices(batches, most_bytes=1 << 20):
             columns: list[list] = [[], [], [], [], [], [], []]
-            for th, text in zip(b.column("th").to_pylist(), binary(b.column("text")), strict=True):
-                if len(text) < least or th in met:
+            for th, tag, text in zip(b.column("th").to_pylist(), b.column("tag").to_pylist(), binary(b.column("text")), strict=True):
+                if len(text) < least or (th, tag) in met:
                     continue
-                met.add(th)
-                if len(met) > 1_000_000:
+                met.add((th, tag))
+                if len(met) > MOST_SEEN:
                     met.clear()
                 for at, part in parts(text, least):
                     first, last, _, h = runs(np.frombuffer(part, np.uint8), least, anchor)
@@ -202,7 +212,7 @@ def find_runs(texts: DataFrame, least: int, anchor: int) -> DataFrame:
                         k = seen.get(c, 0)
                         done.append(k >= 2)  # two places have gone to the shuffle: the context is known as repeated there
                         seen[c] = k + 1
-                    pos = (first + at).tolist()
+                    pos = (first + (at | tag)).tolist()
                     columns[0] += [digest(b"%d %d" % (th, p)) if d else x for x, d, p in zip(own, done, pos, strict=True)] if any(done) else own
                     columns[1] += own
                     columns[2] += ctx
@@ -210,12 +220,12 @@ def find_runs(texts: DataFrame, least: int, anchor: int) -> DataFrame:
                     columns[4] += pos
                     columns[5] += (last - first + least).tolist()
                     columns[6] += done
-            if len(seen) > 400_000:
+            if len(seen) > MOST_SEEN:
                 seen.clear()
             signed = lambda v: pa.array(np.array([x & 0xFFFFFFFFFFFFFFFF for x in v], np.uint64).view(np.int64))
             yield pa.record_batch([signed(columns[0]), signed(columns[1]), signed(columns[2]), pa.array(columns[3], pa.int64()), pa.array(columns[4], pa.int64()), pa.array(columns[5], pa.int32()), pa.array(columns[6], pa.bool_())], names=["deal", "h", "ctx", "th", "pos", "len", "done"])
 
-    return texts.select("text", "th").mapInArrow(run, "deal long, h long, ctx long, th long, pos long, len int, done boolean")
+    return texts.select("text", "th", "tag").mapInArrow(run, "deal long, h long, ctx long, th long, pos long, len int, done boolean")
 
 
 def sort_out(found: DataFrame) -> DataFrame:
@@ -276,8 +286,7 @@ def sort_out(found: DataFrame) -> DataFrame:
             kept = [c[n - 1 :] for c in columns]
             kept_same, kept_more = bool(same_c[n - 1]), bool(more[n - 1])
 
-    parts_ = max(1, int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ordered = found.repartition(parts_, "deal").sortWithinPartitions("done", "h", "ctx", "th", "pos")
+    ordered = found.repartition("deal").sortWithinPartitions("done", "h", "ctx", "th", "pos")
     return ordered.mapInArrow(run, "h long, th long, pos long, len int, need boolean")
 
 
@@ -287,21 +296,26 @@ def _with_end(batches: Iterator) -> Iterator:
 
 
 def fetch(texts: DataFrame, need: DataFrame, least: int, anchor: int) -> DataFrame:
-    """(h, th, pos, place, body): the contexts of the needed runs, and where in them the minimizer lies."""
+    """(h, th, pos, place, body): the contexts of the needed runs, and where in them the minimizer lies. One row of each distinct
+    text is asked: equal rows are put together before they are dealt."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
+        for b in slices(batches, most_bytes=1 << 20):
             out: list[tuple] = []
-            for th, text, rows in zip(b.column("th").to_pylist(), binary(b.column("text")), b.column("rows").to_pylist(), strict=True):
+            for th, tag, text, rows in zip(b.column("th").to_pylist(), b.column("tag").to_pylist(), binary(b.column("text")), b.column("rows").to_pylist(), strict=True):
                 for r in rows:
-                    body = text[r["pos"] : r["pos"] + r["len"]]
+                    at = r["pos"] - tag
+                    if at >> OFFSET:
+                        continue  # a place in another text of this th
+                    body = text[at : at + r["len"]]
                     first, _, place, _ = runs(np.frombuffer(body, np.uint8), least, anchor)
                     out.append((r["h"], th, r["pos"], int(place[0]), body))
             columns = list(zip(*out, strict=True)) or [()] * 5
             yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["h", "th", "pos", "place", "body"])
 
     wanted = need.groupBy("th").agg(F.collect_list(F.struct("h", "pos", "len")).alias("rows"))
-    return texts.join(wanted, "th").select("th", "text", "rows").mapInArrow(run, "h long, th long, pos long, place int, body binary")
+    one = texts.where(F.octet_length("text") >= least).groupBy("th", "tag").agg(F.first("text").alias("text"))
+    return one.join(wanted, "th").select("th", "tag", "text", "rows").mapInArrow(run, "h long, th long, pos long, place int, body binary")
 
 
 def expand(bodies: DataFrame, least: int, most_bytes: int = 1 << 18) -> DataFrame:
@@ -333,8 +347,7 @@ def expand(bodies: DataFrame, least: int, most_bytes: int = 1 << 18) -> DataFram
         if waiting:
             yield flush()
 
-    parts_ = max(1, int(bodies.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ordered = bodies.select("h", "th", "pos", "body").repartition(parts_, "h").sortWithinPartitions("h")
+    ordered = bodies.select("h", "th", "pos", "body").repartition("h").sortWithinPartitions("h")
     return ordered.mapInArrow(run, "th long, start long, end long")
 
 
@@ -362,19 +375,23 @@ def split_cells(bodies: DataFrame, least: int, anchor: int, width: int) -> DataF
     return bodies.mapInArrow(run, "h long, th long, pos long, place int, body binary")
 
 
-def covered(docs: DataFrame, least: int = 200, anchor: int = 40) -> DataFrame:
-    """(th, start, end) of repeated bytes, by the hash th of the text; ranges may overlap."""
-    texts = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
+def named(docs: DataFrame, *extra: str) -> DataFrame:
+    """text (null as empty), th and tag of every row, and what is named in extra."""
+    tag = F.shiftleft(F.xxhash64(F.lit("tag"), "text").bitwiseAND(F.lit((1 << (63 - OFFSET)) - 1)), OFFSET)
+    return small_batches(docs).select(F.coalesce(F.col("text"), F.lit("")).alias("text"), *extra).withColumns({"th": F.xxhash64("text"), "tag": tag})
+
+
+def covered(texts: DataFrame, least: int = 200, anchor: int = 40) -> DataFrame:
+    """(th, start, end) of bytes that repeated strings cover, of texts as named() gives them; ranges may overlap. Copies of whole
+    texts aren't among them."""
     found = materialize(sort_out(find_runs(texts, least, anchor)), "runs")
     out = [found.where("not need").selectExpr("th", "pos start", "pos + len end")]
-    copies = texts.where(F.octet_length("text") >= least).groupBy("th", F.octet_length("text").cast("long").alias("end")).count().where("count > 1")
-    out.append(copies.selectExpr("th", "0L start", "end"))
     need = found.where("need")
     hot = need.groupBy("h").count().where(F.col("count") > MOST_CONTEXTS).select("h")
     bodies = materialize(fetch(texts, need, least, anchor), "contexts")
     if hot.isEmpty():
         out.append(expand(bodies, least))
-        return out[0].unionByName(out[1]).unionByName(out[2])
+        return out[0].unionByName(out[1])
     hot = materialize(hot, "hot")
     out.append(expand(bodies.join(hot, "h", "left_anti"), least))
     large = bodies.join(hot, "h", "left_semi")
@@ -390,7 +407,8 @@ def covered(docs: DataFrame, least: int = 200, anchor: int = 40) -> DataFrame:
         out.append(expand(ones.where(F.col("n") <= MOST_CONTEXTS), least))
         if width == 1:
             break
-        large = materialize(ones.where(F.col("n") > MOST_CONTEXTS).select("h", "th", "pos", "place", "body"), "large")
+        before, large = large, materialize(ones.where(F.col("n") > MOST_CONTEXTS).select("h", "th", "pos", "place", "body"), "large")
+        drop_materialized(same, before)
         if large.isEmpty():
             break
     result = out[0]
@@ -401,19 +419,25 @@ def covered(docs: DataFrame, least: int = 200, anchor: int = 40) -> DataFrame:
 
 def dedup_substrings(docs: DataFrame, least: int = 200, anchor: int = 40, with_text: bool = False, extra: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and text, with the columns named in extra) of every row of docs."""
-    gone = covered(docs, least, anchor)
-    # one row a text: its ranges as one sorted array
-    ranges = gone.groupBy("th").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("ranges"))
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *extra).withColumn("th", F.xxhash64("text"))
+    texts = named(docs)
+    gone = covered(texts, least, anchor)
+    copies = materialize(texts.where(F.octet_length("text") >= least).groupBy("th", "tag").count().where("count > 1"), "copies")
+    hot = F.broadcast(frequent_keys(copies, ["th", "tag"], "count").withColumn("hot", F.lit(True)))  # at most MOST_FREQUENT rows
+    # one row a text: its ranges as one sorted array, and the names of texts with copies
+    ranges = gone.unionByName(copies.selectExpr("th", "tag start", "-1L end")).groupBy("th").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("ranges"))
+    own = named(docs, F.col("doc_id").cast("long").alias("doc_id"), *extra).join(hot, ["th", "tag"], "left")
+    own = own.withColumn("key", row_or_key("th", F.col("hot").isNotNull())).drop("th")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             rows, texts = [], []
-            starts_ends = b.column("ranges").to_pylist()
-            for text, found in zip(binary(b.column("text")), starts_ends, strict=True):
+            for text, tag, whole, found in zip(binary(b.column("text")), b.column("tag").to_pylist(), b.column("hot").to_pylist(), b.column("ranges").to_pylist(), strict=True):
                 at, kept, spans, end = 0, [], 0, -1
-                for r in found or ():
-                    x, y = r["start"], min(r["end"], len(text))
+                mine = [(r["start"] - tag, r["end"] - tag) for r in found or () if r["start"] >> OFFSET == tag >> OFFSET]
+                if len(text) >= least and (whole or any(y < 0 for _, y in mine)):
+                    mine = [(0, len(text))]
+                for x, y in mine:
+                    y = min(y, len(text))
                     if x > end:
                         kept.append(text[at:x])
                         spans += 1
@@ -423,7 +447,7 @@ def dedup_substrings(docs: DataFrame, least: int = 200, anchor: int = 40, with_t
                 kept.append(text[at:])
                 rest = b"".join(kept)
                 rows.append((len(text), len(text) - len(rest), spans, hashlib.sha256(rest).hexdigest()))
-                texts.append(rest)
+                texts.append(rest if with_text else b"")
             columns = list(zip(*rows, strict=True))
             arrays = [b.column("doc_id"), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.string())]
             names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
@@ -433,4 +457,5 @@ def dedup_substrings(docs: DataFrame, least: int = 200, anchor: int = 40, with_t
             yield pa.record_batch([*arrays, *(b.column(x) for x in extra)], names=[*names, *extra])
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", text string" * with_text
-    return own.join(ranges, "th", "left").select("doc_id", "text", "ranges", *extra).mapInArrow(run, schema_with(schema, own, extra))
+    joined = own.join(ranges.withColumnRenamed("th", "key"), "key", "left")
+    return joined.select("doc_id", "text", "tag", "hot", "ranges", *extra).mapInArrow(run, schema_with(schema, own, extra))
