@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import bpe, classifier, html, lines, near, packing, rules, search, suffixes, units
 from .common import read_table
@@ -90,7 +91,21 @@ QUERIES["op1_suffix_dedup"] = op1_suffix_dedup
 
 
 def op9_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return units.dedup_units(read_table(spark, sf_dir, "documents"), least=1)
+    """Spans that went as one text, start-end in bytes joined by commas."""
+    found = units.dedup_units(read_table(spark, sf_dir, "documents"), least=1)
+    return found.withColumn("removed", F.array_join(F.transform("removed", lambda x: F.concat_ws("-", x["start"], x["end"])), ","))
 
 
 QUERIES["op9_unit_dedup"] = op9_unit_dedup
+# Ids are unique in these tables, so that a row's rank needs no hash of its text.
+ORACLES["op9_unit_dedup"] = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM d),
+k AS (SELECT *, strlen(line) AS n, translate(regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+m AS (SELECT *, key <> '' AND row_number() OVER (PARTITION BY key ORDER BY doc_id NULLS FIRST, pos) > 1 AS gone,
+        (sum(n + 1) OVER (PARTITION BY doc_id ORDER BY pos) - n - 1)::BIGINT AS start FROM k)
+SELECT doc_id, (sum(n) + count(*) - 1)::BIGINT AS n_bytes, count(*) AS n_units, sum(gone::INT)::BIGINT AS n_removed,
+       coalesce(string_agg(start || '-' || (start + n), ',' ORDER BY pos) FILTER (WHERE gone), '') AS removed,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM m GROUP BY doc_id
+"""
