@@ -5,24 +5,27 @@ in the task, a bucket whose longest vector is l can only help where the local co
 bucket and query group the pruning is chosen from c: below `switch` by length (only candidates with |q| |p| >= t are verified), above
 it by coordinates (on the query's largest coordinates, a unit candidate p with cos(q, p) >= c must have p_f of at least
 q_f c - sqrt((1 - c^2)(1 - q_f^2)) if q_f >= -c, and always within sqrt(2 (1 - c)) of q_f).  What is left is verified by its exact integer product.  Queries come in blocks of bounded
-size that are broadcast one after the other; every task returns at most k rows a query, and one more top-k joins the tasks.
+size: a block is broadcast, meets all rows in one pass, and its results are written before its broadcast is destroyed and the next
+block comes.  Every task returns at most k rows a query, and one more top-k joins the tasks.
 
 Components x become floor(256 x).  Vectors that are null, or hold null or non-finite components, take no part; an empty vector has
-products of zero with empty vectors; only vectors of one dimension meet.  Rows with the query's own id are not its candidates; rows
-equal in id and vector count once.  Null ids take no part.  Ties go to the smaller id.
+products of zero with empty vectors; only vectors of one dimension meet.  Rows with the query's own id are not its candidates.  All
+other rows are: repeated rows are each a candidate, and a repeated query has a list of its own.  Null ids take no part.  Ties go to
+the smaller id.  An empty table gives no rows; other columns take no part, whatever their names.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from ..sources.shared import shared_dir
+from .common import drop_materialized, materialize, small_batches
 
 SLACK = 1e-6
 
@@ -109,12 +112,11 @@ def search_bucket(best: Best, q: np.ndarray, q_norm: np.ndarray, p: np.ndarray,
 def top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: float = 256.0, block: int = 8192, bucket: int = 2048) -> DataFrame:
     """query_id, rank, vec_id, score: the k best of every row whose id is divisible by `every`."""
     spark = vectors.sparkSession
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = materialize(quantized(vectors, scale).dropDuplicates(["vec_id", "v"]).repartitionByRange(parts, F.col("norm").desc(), "vec_id"), "vectors")
-    queries = rows.where(F.col("vec_id") % every == 0).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(2**20)))
+    rows = materialize(quantized(small_batches(vectors), scale).repartitionByRange(F.col("norm").desc(), "vec_id").sortWithinPartitions(F.col("norm").desc()), "vectors")
+    queries = rows.where(F.col("vec_id") % every == 0).withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(2**20)))  # of fixed files, so the same at every read
     total = queries.count()
     blocks = max(1, -(-total // block))
-    found = []
+    path = f"{shared_dir(spark)}/table-found-{uuid.uuid4().hex}"
     for i in range(blocks):  # each block is of bounded size; its queries are broadcast and meet all rows in one pass
         own = queries.where((F.col("block") % blocks) == i).select("vec_id", "v").orderBy("vec_id", "v").collect()
         shared = spark.sparkContext.broadcast(([r["vec_id"] for r in own], [r["v"] for r in own]))
@@ -150,10 +152,11 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: float = 256.0,
             columns = list(zip(*out, strict=True)) or [()] * 4
             yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], names=["query", "query_id", "vec_id", "score"])
 
-        if own:
-            found.append(rows.select("vec_id", "norm", "v").mapInArrow(run, "query long, query_id long, vec_id long, score long").withColumn("block", F.lit(i)))
-    if not found:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+        found = rows.select("vec_id", "norm", "v").mapInArrow(run, "query long, query_id long, vec_id long, score long")
+        found.write.parquet(f"{path}/block={i}")
+        shared.destroy()
+    drop_materialized(rows)
+    joined = spark.read.schema("query long, query_id long, vec_id long, score long, block int").parquet(path)
     order = Window.partitionBy("block", "query").orderBy(F.desc("score"), "vec_id")
-    joined = reduce(DataFrame.unionByName, found).withColumn("rank", F.row_number().over(order).cast("int"))
+    joined = joined.withColumn("rank", F.row_number().over(order).cast("int"))
     return joined.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
