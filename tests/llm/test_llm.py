@@ -190,18 +190,21 @@ def test_near(docs, empty):
     assert near.group_near(empty).count() == 0
 
 
-def test_search(spark):
+@pytest.mark.parametrize("block", [8192, 4])
+def test_search(spark, block):
     rng = np.random.default_rng(5)
     rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(0, 1, (400, 8)) * rng.lognormal(0, 1, (400, 1)))]
-    rows += [(401, None), (402, [1.0, None] + [0.0] * 6), (403, [float("nan")] * 8), (404, rows[0][1]), (405, []), (None, rows[3][1]), rows[7]]
+    rows += [(401, None), (402, [1.0, None] + [0.0] * 6), (403, [float("nan")] * 8), (404, rows[0][1]), (405, []), (None, rows[3][1]), rows[7], rows[50], rows[7]]
+    table = spark.createDataFrame([(*r, "clash", 1.0, 2) for r in rows], "vec_id long, embedding array<double>, v string, norm double, block int")
     got = defaultdict(list)
-    for r in search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), bucket=64).orderBy("query_id", "rank").collect():
-        got[r["query_id"]].append((r["vec_id"], r["score"]))
-    own = {i: [int(np.floor(256 * x)) for x in v] for i, v in rows[:400] + [rows[403]] if v}
-    own[404] = own[0]
+    for r in search.top_k(table, bucket=64, block=block).collect():
+        got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    own = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in rows if i is not None and v and None not in v and v[0] == v[0]]
     for q in range(0, 400, 50):
-        want = sorted(((-sum(a * b for a, b in zip(own[q], v)), i) for i, v in own.items() if i != q))[:5]
-        assert got[q] == [(i, -s) for s, i in want]
+        mine = [v for i, v in own if i == q]
+        want = sorted((-sum(a * b for a, b in zip(mine[0], v)), i) for i, v in own if i != q)[:5]
+        assert sorted(got[q]) == sorted([(n + 1, i, -s) for n, (s, i) in enumerate(want)] * len(mine))
+    assert not search.top_k(table.where("false")).count()
 
 
 def test_classifier(spark, docs, empty):
@@ -235,24 +238,25 @@ def test_html(spark):
 
 def test_unit_dedup(spark, docs, empty):
     passage = " a passage Of over twenty bytes "
-    odd = [(70, f"x\n{passage}\n{passage.strip().upper()}\nshort"), (71, passage), (71, "other\n" + passage), (72, ""), (73, None)]
+    odd = [(70, f"x\n{passage}\n{passage.strip().upper()}\nshort"), (71, passage), (71, "other\n" + passage), (72, ""), (73, None), (74, "own line of one row\nx"), (74, "own line of one row\nx")]
     docs = docs.unionByName(spark.createDataFrame([(i, t, "en", "s", 0, "clash", "clash") for i, t in odd], SCHEMA))
-    rows = sorted(set(every(docs)), key=lambda r: (r[0] is not None, r[0] or 0))
+    rows = sorted(every(docs), key=lambda r: (r[0] is not None, r[0] or 0))
     key = lambda x: x.strip(" \t\n\x0b\x0c\r").translate({c: c + 32 for c in range(65, 91)}).encode()
-    seen, want = set(), {}
-    for row in rows:
-        spans, at, kept = [], 0, []
-        for line in row[1].split("\n"):
-            k, n = key(line), len(line.encode())
-            if len(k) >= 20 and k in seen:
-                spans.append((at, at + n))
-            else:
-                kept.append(line)
-            seen.add(k)
-            at += n + 1
-        want[row] = (len(row[1].encode()), row[1].count("\n") + 1, len(spans), spans, hashlib.sha256("\n".join(kept).encode()).hexdigest())
-    got = [(r["doc_id"], r["n_bytes"], r["n_units"], r["n_removed"], [tuple(x) for x in r["removed"]], r["kept_sha256"]) for r in units.dedup_units(docs).collect()]
-    assert sorted(got, key=repr) == sorted(((row[0], *want[row]) for row in every(docs)), key=repr)
+    for least in (20, 1):
+        seen, want = set(), []
+        for i, text in rows:
+            spans, at, kept = [], 0, []
+            for line in text.split("\n"):
+                k, n = key(line), len(line.encode())
+                if len(k) >= least and k in seen:
+                    spans.append((at, at + n))
+                else:
+                    kept.append(line)
+                seen.add(k)
+                at += n + 1
+            want.append((i, len(text.encode()), text.count("\n") + 1, len(spans), spans, hashlib.sha256("\n".join(kept).encode()).hexdigest()))
+        got = [(r["doc_id"], r["n_bytes"], r["n_units"], r["n_removed"], [tuple(x) for x in r["removed"]], r["kept_sha256"]) for r in units.dedup_units(docs, least).collect()]
+        assert sorted(got, key=repr) == sorted(want, key=repr)
     assert units.dedup_units(empty).count() == 0
 
 

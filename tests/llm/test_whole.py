@@ -4,7 +4,7 @@ import hashlib
 
 import numpy as np
 
-from tessera.llm import lines, queries, search
+from tessera.llm import lines, queries, search, suffixes
 
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -13,7 +13,7 @@ def test_unit_dedup_takes_short_lines(spark, tmp_path):
     rows = [(1, "ok\n\nfirst"), (2, " OK \nä\n\n"), (3, "Ä\nä\nok\nlast")]
     spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], DOCUMENTS).write.parquet(str(tmp_path / "documents.parquet"))
     got = queries.op9_unit_dedup(spark, str(tmp_path)).orderBy("doc_id").collect()
-    assert [[tuple(x) for x in r["removed"]] for r in got] == [[], [(0, 4)], [(3, 5), (6, 8)]]
+    assert [r["removed"] for r in got] == ["", "0-4", "3-5,6-8"]
     kept = ["ok\n\nfirst", "ä\n\n", "Ä\nlast"]  # the first of a line stays, and empty lines do
     assert [r["kept_sha256"] for r in got] == [hashlib.sha256(t.encode()).hexdigest() for t in kept]
 
@@ -59,4 +59,81 @@ def test_lines_move_in_stored_filters(spark, monkeypatch):
         held = {r["shard"]: lines.CuckooFilter.load(bytes(r["filter"])) for r in index.filters.collect()}
         digests = [bytes(r["digest"]) for r in index.frequent.collect()]
         assert all(held[s].holds([d])[0] for d, s in zip(digests, lines.shard_of(digests, index.shards).tolist()))
-        assert sum(int((f.slots > 0).sum()) + len(f.spilled) for f in held.values()) == len(digests)
+        assert sum(int((f.slots > 0).sum()) + sum(f.spilled.values()) for f in held.values()) == len(digests)
+
+
+def test_filters_give_back_what_spilled():
+    alike = [b"\x01" * 6 + b"\x07\x00" + i.to_bytes(8, "little") for i in range(0, 12 * 4096, 4096)]  # one fingerprint, one bucket pair
+    f = lines.CuckooFilter(8)
+    f.insert(alike)
+    assert f.spilled and f.holds(alike).all()
+    f.delete(alike[:9])
+    f = lines.CuckooFilter.load(f.dump())
+    assert f.holds(alike[9:]).all() and sum(f.spilled.values()) + int((f.slots > 0).sum()) == 3
+    f.delete(alike[9:])
+    assert not f.holds(alike).any()
+
+
+def test_lines_beyond_the_broadcast_bound(spark, monkeypatch):
+    rows = [(i, "\n".join(f"line {j}" for j in range(i % 7, 60, 1 + i % 3)) + "\neverywhere") for i in range(40)] + [(99, None), (98, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(lines, "SHARD_KEYS", 12)
+    index = lines.LineIndex.build(docs)
+    assert index.shards > 1
+    want = sorted(map(tuple, index.apply(docs).collect()))
+    assert any(r[2] for r in want)
+    monkeypatch.setattr(lines, "MOST_BROADCAST", 0)
+    assert sorted(map(tuple, index.apply(docs).collect())) == want
+    again = index.delete(docs.where("doc_id < 30")).insert(docs.where("doc_id < 30"))
+    assert sorted(map(tuple, again.apply(docs).collect())) == want
+
+
+def brute(rows, least=200):
+    """doc_id, n_bytes, n_removed, kept_sha256 by counting every string."""
+    count = {}
+    for _, t in rows:
+        for k in range(len(t) - least + 1):
+            count[t[k : k + least]] = count.get(t[k : k + least], 0) + 1
+    out = []
+    for i, t in rows:
+        gone = np.zeros(len(t), bool)
+        for k in range(len(t) - least + 1):
+            if count[t[k : k + least]] > 1:
+                gone[k : k + least] = True
+        kept = bytes(np.frombuffer(t, np.uint8)[~gone])
+        out.append((i, len(t), int(gone.sum()), hashlib.sha256(kept).hexdigest()))
+    return sorted(out)
+
+
+def test_long_text_over_the_edge_of_a_part(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    monkeypatch.setattr(suffixes, "PART", 3000)
+    long = bytearray(rng.integers(97, 123, 40_000, dtype=np.uint8).tobytes())
+    long[2900:3200] = long[20_000:20_300]  # over the edge of the first part
+    rows = [(1, bytes(long)), (2, b"q" * 50 + bytes(long[8_990:9_300]) + b"z" * 50), (3, bytes(long[:199]))]
+    docs = spark.createDataFrame([(i, t.decode()) for i, t in rows], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["kept_sha256"]) for r in suffixes.dedup_substrings(docs).collect())
+    assert got == brute(rows) and got[0][2] >= 900
+
+
+def test_two_megabytes_of_one_text(spark):
+    rng = np.random.default_rng(6)
+    long = bytearray(rng.integers(97, 123, 2_200_000, dtype=np.uint8).tobytes())
+    at = [suffixes.PART * k - 150 for k in (1, 9)]
+    long[at[1] : at[1] + 400] = long[at[0] : at[0] + 400]
+    row = spark.createDataFrame([(1, bytes(long).decode())], "doc_id long, text string")
+    r = suffixes.dedup_substrings(row).first()
+    assert (r["n_bytes"], r["n_removed"], r["n_spans"]) == (len(long), 800, 2)
+
+
+def test_copies_are_fetched_once(spark):
+    rng = np.random.default_rng(7)
+    text = rng.integers(97, 123, 900, dtype=np.uint8).tobytes().decode()
+    variant = text[:450] + "#" + text[451:]
+    docs = spark.createDataFrame([(i, text) for i in range(1000)] + [(5000, variant), (5001, "short"), (5001, "short")], "doc_id long, text string")
+    texts = suffixes.named(docs)
+    need = suffixes.sort_out(suffixes.find_runs(texts, 200, 40)).where("need")
+    bodies = suffixes.fetch(texts, need, 200, 40)
+    assert 0 < bodies.count() == need.dropDuplicates(["h", "th", "pos"]).count() < 30
+    got = {(r["n_bytes"], r["n_removed"]) for r in suffixes.dedup_substrings(docs).collect()}
+    assert got == {(900, 900), (900, 899), (5, 0)}
