@@ -1,13 +1,15 @@
 """Reversible line dedup: sharded cuckoo filters over exact reference-count tables.
 
 A line's key is the line with ASCII white space stripped at both ends and A-Z lower-cased; its digest is 128 bits.  The reference
-count of a digest is the number of document rows that hold it; it lives in an exact table (digest, n_docs).  Every shard keeps a
-cuckoo filter of the digests at or above the threshold.  Documents can be inserted and deleted: counts move up and down, digests
-enter and leave the stored filter of their shard, which is built anew only if it has no room.  A line is dropped if the filter of its shard holds it and the exact table confirms it;
-a filter alone never decides.  Filters are broadcast while their total size is below a checked bound; beyond it every line goes to
-the exact table, which gives the same rows.
+count of a digest is the number of document rows that hold it; it lives in an exact table (digest, n_docs) of all digests, also of
+those under the threshold.  Every shard keeps a cuckoo filter of the digests at or above it.  Documents can be inserted and deleted:
+counts move up and down, digests enter and leave the stored filter of their shard, which is built anew only if it has no room.  A line
+is dropped if the filter of its shard holds it and the exact table confirms it; a filter alone never decides.  Filters are broadcast
+while their total size is below a checked bound; beyond it every task's distinct digests are dealt to the filter of their shard.
 
 Null and empty texts are one empty line; empty keys are never dropped.  Repeated rows count as documents of their own.  Null ids pass.
+A count that ties with the threshold drops the line.  Very long texts are read whole, lines of any length; an empty table gives no
+rows.  Other columns pass only where they are named in `extra`, as one struct, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary, keyed_texts, materialize, schema_with, slices
+from .common import binary, keyed_texts, materialize, schema_with, slices, small_batches
 
 #: Bytes of filters that may be broadcast.
 MOST_BROADCAST = 64 << 20
@@ -40,13 +42,14 @@ def line_keys(text: bytes) -> tuple[list[bytes], list[bytes]]:
 class CuckooFilter:
     """Buckets of four 16-bit fingerprints; a digest lies in one of two buckets, which know each other by the fingerprint.
 
-    What doesn't fit after the kicks stays in a short exact list, so that no insertion is ever lost."""
+    What doesn't fit after the kicks is counted by fingerprint and bucket pair, so that no insertion is ever lost and each can be taken
+    out again: places of one fingerprint and pair are alike, wherever they lie."""
 
-    def __init__(self, keys: int, slots: np.ndarray | None = None, spilled: list[bytes] | None = None):
+    def __init__(self, keys: int, slots: np.ndarray | None = None, spilled: dict[bytes, int] | None = None):
         self.buckets = 1 << max(1, int(np.ceil(np.log2(max(1, keys) / 4 / 0.8))))
         self.slots = np.zeros((self.buckets, 4), np.uint16) if slots is None else slots.reshape(-1, 4)
         self.buckets = len(self.slots)
-        self.spilled = set(spilled or [])
+        self.spilled: Counter = Counter(spilled or {})
 
     def places(self, digests: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         words = np.frombuffer(b"".join(digests), "<u8").reshape(-1, 2)
@@ -72,7 +75,11 @@ class CuckooFilter:
                 p, slots[at, j] = int(slots[at, j]), p
                 at = int(self.other(at, p))
             else:  # full: the last fingerprint has no room, so its bucket pair is kept exactly
-                self.spilled.add(int(p).to_bytes(2, "little") + int(min(at, int(self.other(at, p)))).to_bytes(8, "little"))
+                self.spilled[self._name(p, at, int(self.other(at, p)))] += 1
+
+    @staticmethod
+    def _name(p: int, a: int, b: int) -> bytes:
+        return int(p).to_bytes(2, "little") + int(min(a, b)).to_bytes(8, "little")
 
     def delete(self, digests: list[bytes]) -> None:
         """Take out digests that were inserted; others must not be given."""
@@ -83,27 +90,33 @@ class CuckooFilter:
                     self.slots[at, found[0]] = 0
                     break
             else:
-                self.spilled.discard(int(p).to_bytes(2, "little") + min(a, b).to_bytes(8, "little"))
+                name = self._name(p, a, b)
+                if self.spilled[name] <= 1:
+                    del self.spilled[name]
+                else:
+                    self.spilled[name] -= 1
 
     def holds(self, digests: list[bytes]) -> np.ndarray:
         prints, a, b = self.places(digests)
         found = (self.slots[a] == prints[:, None]).any(1) | (self.slots[b] == prints[:, None]).any(1)
         if self.spilled:
-            found |= np.array([int(p).to_bytes(2, "little") + int(min(x, y)).to_bytes(8, "little") in self.spilled for p, x, y in zip(prints, a, b, strict=True)])
+            found |= np.array([self._name(p, x, y) in self.spilled for p, x, y in zip(prints, a, b, strict=True)], bool)
         return found
 
     def dump(self) -> bytes:
-        return len(self.spilled).to_bytes(4, "little") + b"".join(sorted(self.spilled)) + self.slots.tobytes()
+        rows = [k + n.to_bytes(4, "little") for k, n in sorted(self.spilled.items())]
+        return len(rows).to_bytes(4, "little") + b"".join(rows) + self.slots.tobytes()
 
     @staticmethod
     def load(blob: bytes) -> CuckooFilter:
         n = int.from_bytes(blob[:4], "little")
-        spilled = [blob[4 + 10 * i : 14 + 10 * i] for i in range(n)]
-        return CuckooFilter(0, np.frombuffer(blob[4 + 10 * n :], np.uint16).copy(), spilled)
+        rows = [blob[4 + 14 * i : 18 + 14 * i] for i in range(n)]
+        return CuckooFilter(0, np.frombuffer(blob[4 + 14 * n :], np.uint16).copy(), {r[:10]: int.from_bytes(r[10:], "little") for r in rows})
 
 
 def shard_of(digests: list[bytes], shards: int) -> np.ndarray:
-    return (np.frombuffer(b"".join(digests), "<u8").reshape(-1, 2)[:, 1] >> np.uint64(40)).astype(np.int64) % shards
+    """By the last three bytes of a digest, which sharded() reads as well."""
+    return (np.frombuffer(b"".join(digests), ">u8").reshape(-1, 2)[:, 1] & np.uint64(0xFFFFFF)).astype(np.int64) % shards
 
 
 def count_lines(docs: DataFrame, sign: int = 1) -> DataFrame:
@@ -125,7 +138,7 @@ def count_lines(docs: DataFrame, sign: int = 1) -> DataFrame:
                 yield flush()
         yield flush()
 
-    return docs.select("text").mapInArrow(run, "digest binary, n long").groupBy("digest").agg(F.sum("n").alias("n_docs"))
+    return small_batches(docs).select("text").mapInArrow(run, "digest binary, n long").groupBy("digest").agg(F.sum("n").alias("n_docs"))
 
 
 def merge_counts(*tables: DataFrame) -> DataFrame:
@@ -138,8 +151,7 @@ def merge_counts(*tables: DataFrame) -> DataFrame:
 
 def sharded(digests: DataFrame, shards: int) -> DataFrame:
     """The rows with the shard of their digest."""
-    shard = F.udf(lambda d: int(shard_of([bytes(d)], shards)[0]), "int") if shards > 1 else None
-    return digests.withColumn("shard", shard("digest") if shard else F.lit(0))
+    return digests.withColumn("shard", (F.conv(F.hex(F.expr("substring(digest, 14, 3)")), 16, 10).cast("long") % shards).cast("int"))
 
 
 def build_filters(frequent: DataFrame, shards: int, only: list[int] | None = None) -> DataFrame:
@@ -167,13 +179,12 @@ def update_filters(filters: DataFrame, moved: DataFrame, frequent: DataFrame, sh
         if len(own):
             f = CuckooFilter.load(bytes(own["filter"].iloc[0]))
             come, go = [sorted(map(bytes, moves.loc[moves["enters"] == x, "digest"])) for x in (True, False)]
-            # What is spilled is a set, from which equal fingerprints can't be taken one by one.
-            if not f.spilled and np.count_nonzero(f.slots) + len(come) - len(go) <= 0.9 * f.slots.size:
+            if np.count_nonzero(f.slots) + len(come) - len(go) <= 0.9 * f.slots.size:
                 if go:
                     f.delete(go)
                 if come:
                     f.insert(come)
-                blob = None if f.spilled else f.dump()
+                blob = f.dump()
         return pd.DataFrame({"shard": [int(key[0])], "filter": [blob]})
 
     done = materialize(filters.groupBy("shard").cogroup(sharded(moved, shards).groupBy("shard")).applyInPandas(run, "shard int, filter binary"), "filters")
@@ -212,34 +223,10 @@ class LineIndex:
 
     def apply(self, docs: DataFrame, with_text: bool = False, extra: tuple[str, ...] = ()) -> DataFrame:
         """doc_id, n_lines, n_dropped, kept_sha256 (and text, with the columns named in extra) of every row of docs under this index."""
-        spark = docs.sparkSession
-        frequent, shards = self.frequent, self.shards
-        blobs = None
-        if self.total * 8 <= MOST_BROADCAST:  # 2.5 to 5 bytes a digest
-            blobs = spark.sparkContext.broadcast({r["shard"]: bytes(r["filter"]) for r in self.filters.collect()})
         keyed = keyed_texts(docs)
-
-        def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            filters = None if blobs is None else {k: CuckooFilter.load(v) for k, v in blobs.value.items()}
-            digest = xxhash.xxh3_128_digest
-            for b in slices(batches):
-                keys = [list(map(digest, {k for k in line_keys(t)[1] if k})) for t in binary(b.column("text"))]
-                rows = np.repeat(np.arange(b.num_rows), [len(k) for k in keys])
-                flat = [d for k in keys for d in k]
-                if filters is not None and flat:
-                    kept, shard = np.zeros(len(flat), bool), shard_of(flat, shards)
-                    for s in np.unique(shard).tolist():
-                        if s in filters:
-                            own = np.flatnonzero(shard == s)
-                            kept[own] = filters[s].holds([flat[i] for i in own.tolist()])
-                    where = np.flatnonzero(kept)
-                    rows, flat = rows[where], [flat[i] for i in where.tolist()]
-                yield pa.record_batch([b.column("k1").take(pa.array(rows)), b.column("k2").take(pa.array(rows)), pa.array(flat, pa.binary())], names=["k1", "k2", "digest"])
-
-        maybe = keyed.select("text", "k1", "k2").mapInArrow(probe, "k1 long, k2 long, digest binary")
+        found = self._broadcast(keyed) if self.total * 8 <= MOST_BROADCAST else self._dealt(keyed)  # a filter has 2.5 to 5 bytes a digest
         # A digest that a third of all rows hold isn't a hot key here: the semi join is against distinct digests and AQE splits skew.
-        sure = maybe.join(frequent, "digest", "left_semi")
-        dropped = sure.groupBy("k1", "k2").agg(F.collect_set("digest").alias("dropped"))
+        dropped = found.join(self.frequent, "digest", "left_semi").groupBy("k1", "k2").agg(F.collect_set("digest").alias("dropped"))
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             digest = xxhash.xxh3_128_digest
@@ -269,6 +256,63 @@ class LineIndex:
         joined = keyed_texts(docs, *extra).join(dropped, ["k1", "k2"], "left")
         return joined.select("doc_id", "text", "dropped", *extra).mapInArrow(cut, schema_with(schema, joined, extra))
 
+    def _broadcast(self, keyed: DataFrame) -> DataFrame:
+        """(k1, k2, digest) of the lines that the filters hold, which every task has."""
+        shards = self.shards
+        blobs = keyed.sparkSession.sparkContext.broadcast({r["shard"]: bytes(r["filter"]) for r in self.filters.collect()})
+
+        def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            filters = {k: CuckooFilter.load(v) for k, v in blobs.value.items()}
+            for b in line_digests(batches):
+                flat = b.column("digest").to_pylist()
+                kept, shard = np.zeros(len(flat), bool), shard_of(flat, shards)
+                for s in np.unique(shard).tolist():
+                    if s in filters:
+                        own = np.flatnonzero(shard == s)
+                        kept[own] = filters[s].holds([flat[i] for i in own.tolist()])
+                yield b.filter(pa.array(kept))
+
+        return keyed.select("text", "k1", "k2").mapInArrow(probe, "k1 long, k2 long, digest binary")
+
+    def _dealt(self, keyed: DataFrame) -> DataFrame:
+        """The same where the filters are too large to broadcast: lines go to their shard's filter, which comes before them in order.
+        Each filter goes to as many tasks as there are deals of a shard, so that a shard with a very common line is no single task."""
+        deals = max(1, -(-int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")) // self.shards))
+        lines = sharded(keyed.select("text", "k1", "k2").mapInArrow(line_digests, "k1 long, k2 long, digest binary"), self.shards)
+        lines = lines.withColumns({"deal": F.pmod(F.xxhash64("k1", "k2"), F.lit(deals)).cast("int"), "filter": F.lit(None).cast("binary")})
+        filters = self.filters.select(F.lit(None).cast("long").alias("k1"), F.lit(None).cast("long").alias("k2"), F.lit(None).cast("binary").alias("digest"), "shard", F.explode(F.sequence(F.lit(0), F.lit(deals - 1))).alias("deal"), "filter")
+
+        def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            now = held = None
+            for b in batches:
+                groups = list(zip(b.column("shard").to_pylist(), b.column("deal").to_pylist(), strict=True))
+                kept, digests = np.zeros(b.num_rows, bool), b.column("digest").to_pylist()
+                at = 0
+                while at < len(groups):
+                    end = at
+                    while end < len(groups) and groups[end] == groups[at]:
+                        end += 1
+                    if digests[at] is None:
+                        now, held = groups[at], CuckooFilter.load(b.column("filter")[at].as_py())
+                        at += 1
+                    if at < end and groups[at] == now:  # a shard without a frequent digest has no filter
+                        kept[at:end] = held.holds(digests[at:end])
+                    at = end
+                yield b.filter(pa.array(kept)).select(["k1", "k2", "digest"])
+
+        ordered = lines.select(filters.columns).unionByName(filters).repartition("shard", "deal").sortWithinPartitions("shard", "deal", F.col("filter").isNull())
+        return ordered.mapInArrow(probe, "k1 long, k2 long, digest binary")
+
+
+def line_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """k1, k2, digest of the distinct lines of each row that aren't empty."""
+    digest = xxhash.xxh3_128_digest
+    for b in slices(batches):
+        keys = [list(map(digest, {k for k in line_keys(t)[1] if k})) for t in binary(b.column("text"))]
+        rows = pa.array(np.repeat(np.arange(b.num_rows), [len(k) for k in keys]))
+        if len(rows):
+            yield pa.record_batch([b.column("k1").take(rows), b.column("k2").take(rows), pa.array([d for k in keys for d in k], pa.binary())], names=["k1", "k2", "digest"])
+
 
 def dedup_lines(docs: DataFrame, least: int = 10, with_text: bool = False, extra: tuple[str, ...] = ()) -> DataFrame:
     """Drop every line whose key at least `least` documents hold."""
