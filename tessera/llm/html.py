@@ -3,11 +3,13 @@
 Every element is a node with two states, content or not.  Its own features (tag, words of class and id, share of text in links,
 length and marks of its text) give a node potential, parent and child are tied by a pair potential, and sum-product messages, up and
 then down the tree, give the marginal of every node exactly.  Potentials are estimated with smoothing from labelled pages; the
-labelled pages are composed by labelled_pages() from a grammar of page layouts.  The text of nodes whose marginal for content is at
-least 0.5 is kept: blocks in page order, white space inside a block as one space, blocks joined by an empty line.
+labelled pages are composed by labelled_pages() from a grammar of page layouts, which marks each block as content or not when it
+writes it, so that a label never comes from the words and tags that features look at.  The text of nodes whose marginal for content is
+at least 0.5 is kept: blocks in page order, white space inside a block as one space, blocks joined by an empty line.
 
 Null and empty pages give an empty text.  Pages without markup are one block of content.  Broken pages (cut tags, missing ends) are
-read as browsers do in outline.  Null ids and repeated rows pass through, one output row each.
+read as browsers do in outline.  A marginal of exactly 0.5 is kept.  Very long pages are read whole.  Null ids and repeated rows pass
+through, one output row each; an empty table gives none; other columns take no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ SPACE = re.compile(r"\s+")
 #: Elements by the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title svg iframe select".split())
+#: Those of them that reach to the end of the page if they aren't closed; of the others, only the tag is left out.
+TO_END = frozenset("script style textarea title".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Words of class and id attributes by what they tell.
@@ -47,13 +51,13 @@ HINT_OF = {w: kind for kind, words in HINTS.items() for w in words.split()}
 
 
 class Node:
-    __slots__ = ("attrs", "children", "links", "parent", "tag", "texts", "total")
+    __slots__ = ("anchors", "attrs", "children", "links", "parent", "tag", "texts", "total")
 
     def __init__(self, tag: str, attrs: str, parent: Node | None):
         self.tag, self.attrs, self.parent = tag, attrs, parent
         self.children: list[Node] = []
         self.texts: list[str] = []
-        self.total = self.links = 0
+        self.total = self.links = self.anchors = 0
 
 
 def parse(page: str) -> tuple[list[Node], list[tuple]]:
@@ -92,7 +96,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple]]:
         if tag in RAW:
             if not m[3].endswith("/"):
                 end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-                at = end.end() if end else n
+                at = end.end() if end else n if tag in TO_END else at
             continue
         if tag in BLOCK:
             stream.append((None, ""))
@@ -118,22 +122,31 @@ def parse(page: str) -> tuple[list[Node], list[tuple]]:
         node.total += own
         if node.tag in ("a", "button"):
             node.links = node.total
+            node.anchors = 1
         if node.parent:
             node.parent.total += node.total
             node.parent.links += node.links
+            node.parent.anchors += node.anchors
     return nodes, stream
 
 
 def features(node: Node) -> list[str]:
-    out = ["tag=" + node.tag]
+    """Names of what a node shows; one of each kind, but of hints as many as its attributes have."""
+    fragment = node.parent is None and not any(c.tag in ("html", "body", "head") for c in node.children)
+    out = ["tag=#fragment" if fragment else "tag=" + node.tag]
     hints = {HINT_OF[w] for w in re.split(r"[^a-z]+", node.attrs) if w in HINT_OF} if node.attrs else ()
     out += ["hint=" + h for h in hints]
     if not hints:
-        out.append("hint=none")
+        out.append("hint=other" if node.attrs else "hint=none")
     own = sum(len(t.strip()) for t in node.texts)
-    out.append(f"own={min(6, int(math.log2(own + 1)) // 2) if own else -1}")
+    out.append(f"own={min(4, int(math.log2(own + 1)) // 2) if own else -1}")
+    if node.tag not in ("#root", "html", "body"):
+        out.append(f"sub={min(4, int(math.log2(node.total + 1)) // 2)}")
     share = node.links / node.total if node.total else 0
-    out.append(f"link={0 if share == 0 else 1 if share < 0.25 else 2 if share < 0.6 else 3}")
+    if node.anchors:  # many links of a word or two make a menu, a linked sentence doesn't
+        out.append(f"link={1 if share < 0.25 else 2 if share < 0.6 else 3}/{min(3, int(node.links / node.anchors) // 20)}")
+    else:
+        out.append("link=0")
     if own:
         text = "".join(node.texts)
         out.append(f"stops={min(3, text.count('. ') + text.count(', ') + text.rstrip().endswith(('.', '!', '?')))}")
@@ -234,98 +247,140 @@ def _add(a: float, b: float) -> float:
     return a + math.log1p(math.exp(b - a))
 
 
-def labelled_pages(n: int = 400, seed: int = 17) -> list[tuple[str, list[int]]]:
-    """Pages composed from a grammar of layouts, with the state of every node; what is content carries the attribute data-c while composing."""
+#: What the grammar writes into a tag that is content, and into one that isn't; both are taken out again.
+GOOD, BAD = "\x01", "\x02"
+
+
+def labelled_pages(n: int = 1200, seed: int = 17) -> list[tuple[str, list[int]]]:
+    """Pages composed from a grammar of layouts, with the state of every node: that of the nearest marked node above it or itself."""
     rng = random.Random(seed)
     out = []
 
     def words(low: int, high: int) -> str:
-        return " ".join("".join(rng.choice("abcdefghilmnoprstu") for _ in range(rng.randint(2, 9))) for _ in range(rng.randint(low, high)))
+        return " ".join("".join(rng.choice("abcdefghilmnoprstuéü") for _ in range(rng.randint(2, 9))) for _ in range(rng.randint(low, high)))
+
+    def sentences(low: int = 1, high: int = 6) -> str:
+        joint = lambda: rng.choice([", ", ". ", " ", " "])
+        return "".join(words(3, 9).capitalize() + joint() + words(1, 6) + rng.choice([". ", ". ", ". ", "! ", "? "]) for _ in range(rng.randint(low, high))).strip()
 
     def prose() -> str:
-        text = ". ".join(words(3, 14).capitalize() for _ in range(rng.randint(1, 6))) + rng.choice([".", ".", "!", ""])
-        for _ in range(rng.randint(0, 2)):
-            tag, w = rng.choice(["b", "i", "em", "strong", 'a href="/x"', "span", "code"]), words(1, 3)
+        text = rng.choices([lambda: sentences(), lambda: words(1, 5).capitalize() + rng.choice(["", ".", "!"]), lambda: words(8, 60), lambda: f"{words(1, 2)} " * rng.randint(5, 40)], [12, 3, 2, 1])[0]()
+        for _ in range(rng.choice([0, 0, 1, 2])):
+            tag, w = rng.choice(["b", "i", "em", "strong", 'a href="/x"', "span", "code", 'a class="ref" href="#n"']), words(1, 3)
             text = text.replace(" ", f" <{tag}>{w}</{tag.split()[0]}> ", 1)
         return text
 
+    def attr(*names: str, chance: float = 0.8) -> str:
+        return f' {rng.choice(["class", "class", "id"])}="{rng.choice(names)}"' if rng.random() < chance else ""
+
+    def plain() -> str:
+        return attr("box", "c1", "col2", "row", "zone-3", "block-12", "x7", "inner", "wrap", "module", chance=0.4)
+
+    def entry() -> str:
+        return rng.choice([lambda: words(1, 3), lambda: words(1, 2).capitalize(), lambda: words(1, 2) + rng.choice([",", "."])])()
+
     def links(low: int, high: int) -> str:
-        return "<ul>" + "".join(f'<li><a href="/{i}">{words(1, 3)}</a></li>' for i in range(rng.randint(low, high))) + "</ul>"
+        return "<ul>" + "".join(f'<li><a href="/{i}">{entry()}</a></li>' for i in range(rng.randint(low, high))) + "</ul>"
 
-    def cls(*names: str) -> str:
-        return f' {rng.choice(["class", "id"])}="{rng.choice(names)}"' if rng.random() < 0.85 else ""
+    def bar(low: int, high: int) -> str:
+        return rng.choice([" ", " | ", " &middot; ", ""]).join(f'<a href="/{i}">{entry()}</a>' for i in range(rng.randint(low, high)))
+
+    def comments() -> str:
+        one = rng.choice([
+            lambda: f'<div class="comment"><p>{prose()}</p></div>',
+            lambda: f'<li class="comment"><b>{words(1, 2)}</b> <p>{prose()}</p></li>',
+            lambda: f"<div><span>{words(1, 2)}</span><p>{prose()}</p></div>",
+            lambda: f'<p class="reply">{prose()}</p>',
+        ])
+        return "".join(one() for _ in range(rng.randint(1, 5)))
 
     def junk() -> str:
         return rng.choice([
-            lambda: f"<nav>{links(2, 8)}</nav>",
-            lambda: f'<div{cls("menu", "nav", "navbar")}>{links(2, 8)}</div>',
-            lambda: f'<aside{cls("sidebar", "related", "widget")}><h3>{words(1, 3)}</h3>{links(2, 6)}<p>{words(4, 20)}</p></aside>',
-            lambda: f'<div class="{rng.choice(["sidebar", "related", "widget", "trending"])}"><h4>{words(1, 3)}</h4>{links(2, 6)}</div>',
-            lambda: f'<div class="{rng.choice(["cookie-notice", "cookie", "consent", "notice", "newsletter", "gdpr-banner"])}"><p>{words(6, 25).capitalize()}.</p><button>{words(1, 2)}</button></div>',
-            lambda: f'<div class="{rng.choice(["ad", "ads", "advert", "sponsored", "ad-box", "promo"])}">{prose()}</div>',
-            lambda: f'<form action="/s"{cls("search", "login", "subscribe")}><label>{words(1, 4)}</label><input name="q"><button>{words(1, 2)}</button></form>',
-            lambda: f'<section{cls("comments", "comment-list", "discussion")}><h3>{words(1, 2)}</h3>' + "".join(f'<div class="comment"><p>{prose()}</p></div>' for _ in range(rng.randint(1, 4))) + "</section>",
-            lambda: f'<div class="comments"><ul>' + "".join(f"<li class=\"comment\"><b>{words(1, 2)}</b> <p>{prose()}</p></li>" for _ in range(rng.randint(1, 4))) + "</ul></div>",
-            lambda: f'<div class="share"><a href="/a">{words(1, 1)}</a> <a href="/b">{words(1, 1)}</a></div>',
+            lambda: f"<nav{BAD}>{rng.choice([links, bar])(2, 9)}</nav>",
+            lambda: f'<div{BAD}{attr("menu", "nav", "navbar", "topbar", "breadcrumbs", "tabs")}>{rng.choice([links, bar])(3, 9)}</div>',
+            lambda: f"<ul{BAD}{plain()}>" + links(3, 9)[4:],
+            lambda: f'<p{BAD}>{bar(3, 8)}</p>',
+            lambda: f'<aside{BAD}{attr("sidebar", "related", "widget", "rail")}><h3>{words(1, 3)}</h3>{links(2, 6)}<p>{rng.choice([words(4, 20), sentences(1, 2)])}</p></aside>',
+            lambda: f'<div{BAD} class="{rng.choice(["sidebar", "related", "widget", "trending", "recommended"])}"><h4>{words(1, 3)}</h4>{links(2, 6)}</div>',
+            lambda: f'<div{BAD} class="{rng.choice(["cookie-notice", "cookie", "consent", "notice", "newsletter", "gdpr-banner", "alert"])}"><p>{sentences(1, 2)}</p><button>{words(1, 2)}</button></div>',
+            lambda: f'<p{BAD} class="{rng.choice(["notice", "cookie", "disclaimer", "subscribe"])}">{sentences(1, 2)}</p>',
+            lambda: f'<{(tag := rng.choice(["div", "div", "div", "section", "aside", "p"]))}{BAD} {rng.choice(["class", "class", "id"])}="{rng.choice(["ad", "ad", "ads", "advert", "sponsored", "ad-box", "promo", "dfp-slot", "advertisement"])}">{rng.choice([sentences, prose, lambda: words(3, 12)])()}</{tag}>',
+            lambda: f'<form{BAD} action="/s"{attr("search", "login", "subscribe")}><label>{words(1, 4)}</label><input name="q"><button>{words(1, 2)}</button></form>',
+            lambda: f'<section{BAD}{attr("comments", "comment-list", "discussion", "responses")}><h3>{words(1, 2)}</h3>{comments()}</section>',
+            lambda: f'<div{BAD} {rng.choice(["class", "id"])}="{rng.choice(["comments", "disqus", "replies", "reader-comments"])}">{comments()}</div>',
+            lambda: f'<div{BAD} class="share">{bar(2, 4)}</div>',
         ])()
 
-    def body() -> str:
-        parts = [f"<h1 data-c>{words(2, 9)}</h1>"] if rng.random() < 0.8 else []
-        for _ in range(rng.choice([1, 1, 2, 3, 4, 5, 8])):
-            parts.append(rng.choices([
-                lambda: f"<p data-c>{prose()}</p>",
-                lambda: f"<p data-c>{prose()}",
-                lambda: f"<p data-c><b>{prose()}<br>",
-                lambda: f"<h2 data-c>{words(1, 6)}</h2>",
-                lambda: f"<blockquote data-c><p>{prose()}</p></blockquote>",
-                lambda: "<ul data-c>" + "".join(f"<li>{words(2, 15)}</li>" for _ in range(rng.randint(2, 5))) + "</ul>",
-                lambda: f"<div data-c>{prose()}</div>",
-                lambda: f"<table data-c><tr><td>{words(1, 4)}</td><td>{words(1, 4)}</td></tr></table>",
-                lambda: f"<pre data-c>{words(3, 20)}</pre>",
-            ], [14, 5, 2, 3, 1, 2, 2, 1, 1])[0]())
-            if rng.random() < 0.12:
+    def block() -> str:
+        return rng.choices([
+            lambda: f"<p{GOOD}>{prose()}</p>",
+            lambda: f"<p{GOOD}>{prose()}",
+            lambda: f"<p{GOOD}><b>{prose()}<br>",
+            lambda: f"<p{GOOD}{plain()}>{prose()}</p>",
+            lambda: f'<p{GOOD}><a href="/y">{rng.choice([sentences(1, 2), words(3, 7).capitalize()])}</a></p>',
+            lambda: f"<h2{GOOD}>{words(1, 6)}</h2>",
+            lambda: f"<h3{GOOD}>{words(1, 6)}</h3>",
+            lambda: f"<blockquote{GOOD}><p>{prose()}</p></blockquote>",
+            lambda: f"<ul{GOOD}>" + "".join(f"<li>{rng.choice([words(2, 15), sentences(1, 2)])}</li>" for _ in range(rng.randint(2, 5))) + "</ul>",
+            lambda: f"<ol{GOOD}>" + "".join(f'<li>{sentences(1, 1)} <a href="/r">{words(1, 2)}</a></li>' for _ in range(rng.randint(2, 5))) + "</ol>",
+            lambda: f"<dl{GOOD}>" + "".join(f"<dt>{words(1, 3)}<dd>{sentences(1, 2)}" for _ in range(rng.randint(1, 4))) + "</dl>",
+            lambda: f"<div{GOOD}{plain()}>{prose()}</div>",
+            lambda: f'<figure{GOOD}><img src="i.png"><figcaption>{rng.choice([words(3, 12), sentences(1, 1)])}</figcaption></figure>',
+            lambda: f"<table{GOOD}>" + "".join(f"<tr><td>{words(1, 4)}</td><td>{words(1, 4)}</td></tr>" for _ in range(rng.randint(1, 4))) + "</table>",
+            lambda: f"<pre{GOOD}>{words(3, 20)}</pre>",
+        ], [14, 5, 2, 3, 2, 2, 1, 1, 2, 1, 1, 2, 1, 1, 1])[0]()
+
+    def body(mixed: float = 0.12) -> str:
+        parts = [f"<h1{GOOD}>{words(2, 9)}{rng.choice(['', '', '.'])}</h1>"] if rng.random() < 0.8 else []
+        for _ in range(rng.choice([1, 1, 2, 3, 4, 5, 8, 12])):
+            parts.append(block())
+            if rng.random() < mixed:
                 parts.append(junk())
         return "".join(parts)
 
-    def shell() -> str:
-        main = rng.choices([
-            lambda: f'<article data-c{cls("post", "article", "story", "entry")}>{body()}</article>',
-            lambda: f"<article data-c>{body()}</article>",
-            lambda: f"<main><article data-c>{body()}</article></main>",
-            lambda: f"<main data-c>{body()}</main>",
-            lambda: f'<div data-c class="{rng.choice(["content", "main", "post", "entry-content", "article-body", "story"])}">{body()}</div>',
-            lambda: f'<div id="wrap"><div data-c id="{rng.choice(["content", "main"])}">{body()}</div></div>',
-        ], [3, 6, 3, 2, 4, 2])[0]()
-        if rng.random() < 0.15:
-            main = main.replace(">", f"><header>{words(1, 3)}</header>" if rng.random() < 0.3 else ">", 1)
-        head = f"<header>{rng.choice([words(1, 4), links(2, 5)])}</header>" if rng.random() < 0.4 else ""
-        foot = f'<footer>&copy; {words(1, 3)} &middot; {words(2, 14).capitalize()}.</footer>' if rng.random() < 0.8 else f'<div class="footer"><p>&copy; {words(2, 8)}</p></div>'
-        return f"<html><head><meta charset=utf-8></head><body>{head}{''.join(junk() for _ in range(rng.randint(0, 3)))}{main}{''.join(junk() for _ in range(rng.randint(0, 3)))}{foot}</body></html>"
+    def main() -> str:
+        return rng.choices([
+            lambda: f'<article{GOOD}{attr("post", "article", "story", "entry")}>{body()}</article>',
+            lambda: f"<article{GOOD}>{body()}</article>",
+            lambda: f"<main><article{GOOD}>{body()}</article></main>",
+            lambda: f"<main{GOOD}>{body()}</main>",
+            lambda: f'<div{GOOD} class="{rng.choice(["content", "main", "post", "entry-content", "article-body", "story"])}">{body()}</div>',
+            lambda: f'<div id="wrap"><div{GOOD} id="{rng.choice(["content", "main"])}">{body()}</div></div>',
+            lambda: f"<div{plain()}><div{GOOD}{plain()}>{body()}</div></div>",
+            lambda: f"<section{GOOD}{plain()}>{body()}</section>",
+            lambda: body(),
+            lambda: f"<table><tr><td{BAD}>{bar(3, 6)}</td><td{GOOD}>{body(0)}</td></tr></table>",
+        ], [3, 8, 3, 2, 4, 2, 3, 2, 3, 1])[0]()
+
+    def page() -> str:
+        if rng.random() < 0.15:  # fragments: what stands at their root is content, unless it is marked as something else
+            return "".join(f"<p{GOOD}>{rng.choice([prose(), words(1, 6).capitalize()])}</p>" if rng.random() < 0.9 else junk() for _ in range(rng.randint(1, 3)))
+        if rng.random() < 0.05:
+            return "<html><body>" + "".join(f"<p{GOOD}>{prose()}</p>" for _ in range(rng.randint(1, 3))) + "</body></html>"
+        head = f'<{(tag := rng.choice(["header", "header", "div"]))}{BAD}{attr("header", "masthead", "top", chance=1.0 if tag == "div" else 0.5)}>{rng.choice([words(1, 4), links(2, 5), bar(2, 5), f"<h2>{words(1, 3)}</h2>{bar(2, 5)}"])}</{tag}>' if rng.random() < 0.4 else ""
+        foot = rng.choice([
+            lambda: f"<footer{BAD}>&copy; {words(1, 3)} &middot; {rng.choice([words(2, 14).capitalize() + '.', sentences(1, 3)])}</footer>",
+            lambda: f"<footer{BAD}>{rng.choice([bar(2, 6), sentences(1, 2)])}</footer>",
+            lambda: f'<div{BAD} class="{rng.choice(["footer", "copyright", "legal"])}"><p>&copy; {words(2, 8)}</p></div>',
+            lambda: f"<p{BAD}><small>&copy; {words(1, 5)}</small></p>",
+            lambda: "",
+        ])()
+        some = lambda: "".join(junk() for _ in range(rng.choice([0, 0, 1, 1, 2, 3])))
+        return f"<html><head><meta charset=utf-8></head><body>{head}{some()}{main()}{some()}{foot}</body></html>"
 
     for _ in range(n):
-        page = shell()
-        marked, _ = parse(page.replace(" data-c", ' class="cccc"', 0).replace("data-c", 'id="cccc"'))
-        clean = page.replace(" data-c", "")
+        own = page()
+        marked, _ = parse(own.replace(GOOD, ' id="cccc"').replace(BAD, ' id="jjjj"'))
+        clean = own.replace(GOOD, "").replace(BAD, "")
         nodes, _ = parse(clean)
         states: dict[int, int] = {}
         for a in marked:
-            if "cccc" in a.attrs:
-                s = 1
-            elif a.parent is None:
-                s = 0
-            else:
-                s = states[id(a.parent)] and int(not _is_junk(a))
-            states[id(a)] = s
+            states[id(a)] = 1 if "cccc" in a.attrs else 0 if "jjjj" in a.attrs else states[id(a.parent)] if a.parent else int("<body>" not in own)
         if len(nodes) == len(marked):
             out.append((clean, [states[id(a)] for a in marked]))
     return out
 
 
-def _is_junk(node: Node) -> bool:
-    hints = {HINT_OF.get(w) for w in re.split(r"[^a-z]+", node.attrs)}
-    return node.tag in ("nav", "aside", "form", "footer", "header") or bool(hints & {"menu", "edge", "side", "notice", "advert", "talk", "form"}) or (node.tag == "section" and any("comment" in c.attrs for c in node.children))
-
-
 _MODEL: list[TreeModel] = []
 
 
