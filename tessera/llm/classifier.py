@@ -3,9 +3,11 @@
 Filters of `width` bytes slide over the whole text at steps of `step`; a filter's weights are a table (position, byte), which is a
 convolution over one-hot bytes.  Rectified outputs are max-pooled over overlapping chunks (two neighbouring blocks each), chunk
 vectors are combined as their mean and their maximum, and a logistic layer makes one probability.  It learns from at most
-`most_labelled` labelled rows whose crc32(doc_id as text) mod 5 isn't 0, with Adam; only bytes of the text enter a score.
+`most_labelled` labelled rows, of `most_bytes` of text, whose crc32(doc_id as text) mod 5 isn't 0, with Adam; only bytes of the text
+enter a score.
 
-Null and empty texts are scored as one chunk of zero bytes.  Without labelled rows of both classes the score is the share of label 1
+Null and empty texts are scored as one chunk of zero bytes.  Very long texts are scored whole.  A score that ties with the cut is
+predicted 1.  An empty table gives no rows; other columns take no part, whatever their names.  Without labelled rows of both classes the score is the share of label 1
 (0.5 with none).  Null ids count as held out.  Repeated rows get the same score; a row labelled twice takes its lowest label.
 """
 
@@ -16,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import binary, slices
@@ -33,22 +35,26 @@ class ByteNet:
         self.out_bias = np.zeros(1, np.float32)
 
     def _blocks(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Bytes of all texts, each padded to whole blocks with room for the last filter, and the blocks of each."""
+        """Bytes of all texts, each padded with zeros to whole blocks, and the blocks of each."""
         size = self.step * self.block
         counts = [max(1, -(-len(t) // size)) for t in texts]
         data = b"".join([t.ljust(n * size, b"\0") for t, n in zip(texts, counts, strict=True)]) + bytes(self.width)
         return np.frombuffer(data, np.uint8), np.array(counts)
 
-    def _windows(self, data: np.ndarray) -> np.ndarray:
+    def _windows(self, data: np.ndarray, counts: np.ndarray) -> np.ndarray:
         n = (len(data) - self.width) // self.step
         out = np.zeros((n, self.filters), np.float32)
         for k in range(self.width):
             out += self.table[k].take(data[k : k + n * self.step : self.step], axis=0)
+        ends = np.cumsum(counts) * self.block
+        for j in range(1, -(-self.width // self.step)):  # windows that reach over the end of a text see zeros there
+            for k in range(j * self.step, self.width):
+                out[ends - j] += self.table[k, 0] - self.table[k].take(data[(ends - j) * self.step + k], axis=0)
         return out
 
     def _pool(self, data: np.ndarray, counts: np.ndarray):
         """Maxima by block and where they lie, by chunk, and the vector of each text."""
-        conv = self._windows(data).reshape(-1, self.block, self.filters)
+        conv = self._windows(data, counts).reshape(-1, self.block, self.filters)
         where = conv.argmax(1)
         blocks = np.take_along_axis(conv, where[:, None, :], 1)[:, 0] + self.bias
         np.maximum(blocks, 0, out=blocks)
@@ -90,10 +96,11 @@ class ByteNet:
                 gb *= blocks > 0
                 grads[1] = gb.sum(0)
                 place = (np.arange(len(blocks))[:, None] * self.block + where) * self.step
+                end = np.repeat(np.cumsum(counts), counts)[:, None] * self.block * self.step
                 table = np.zeros_like(self.table)
                 cols = np.broadcast_to(np.arange(f), place.shape)
                 for k in range(self.width):
-                    flat = data[place + k].astype(np.int64) * f + cols
+                    flat = np.where(place + k < end, data[place + k], 0).astype(np.int64) * f + cols
                     table[k] = np.bincount(flat.ravel(), gb.ravel(), 256 * f).reshape(256, f)
                 grads[0] = table + decay * self.table
                 t += 1
@@ -104,10 +111,12 @@ class ByteNet:
         return self
 
 
-def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 3000, **settings) -> ByteNet | float:
-    """A network fitted on the driver, or the share of label 1 where there aren't both classes."""
+def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 3000, most_bytes: int = 64 << 20, **settings) -> ByteNet | float:
+    """A network fitted on the driver, or the share of label 1 where there aren't both classes. Texts come in the order of the
+    sample's hashes until most_bytes are full."""
     allowed = labels.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
-    rows = labelled_sample(docs, allowed, most_labelled).collect()
+    order = Window.orderBy(F.xxhash64(F.col("doc_id").cast("long")), "doc_id", "text")  # of most_labelled rows, or their repeats
+    rows = labelled_sample(docs, allowed, most_labelled).withColumn("run", F.sum(F.octet_length(F.coalesce("text", F.lit("")))).over(order)).where(F.col("run") <= most_bytes).collect()
     rows = sorted(((r["doc_id"], (r["text"] or "").encode(), int(r["quality"])) for r in rows), key=lambda r: r)
     labels_ = np.array([r[2] for r in rows], np.float32)
     if len(set(labels_.tolist())) < 2:
