@@ -3,10 +3,13 @@
 A document's remainder of r tokens (after whole sequences are cut off) belongs to the reciprocal-capacity class k = capacity // r,
 at most `classes`; a bin of class k takes exactly k such remainders.  What a bin lacks to its capacity is filled with the head of
 the next document that arrives, since documents may be cut freely.  Every partition packs for itself in one pass and holds at most
-the open bins of the classes; what is open at its end is laid end to end and cut at capacity and then at powers of two, so that no
-sequence needs padding.
+the open bins of the classes; what is open at its end first fills the bin that still takes heads and is then laid end to end and cut
+at capacity and at powers of two.  So at most one sequence a partition needs padding: the bin that takes heads, if all that is open
+doesn't fill it.
 
-Null texts count as empty: one piece with the end id.  Null and repeated ids pass through, each row is packed on its own.
+Null and empty texts are one piece with the end id.  Null and repeated ids pass through, each row is packed on its own.  Very long
+texts are encoded whole and cut at capacity; an empty table gives no rows; there are no ties, and documents of one class keep their
+order.  Other columns take no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,6 +32,8 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 #: Words that are Latin letters, then signs: their ids are those of the lower-case letters, then those of the signs.
 SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:#$%&*|]*)")
+#: Texts on which a tokenizer must show that it reads words one by one, and simple words as SIMPLE says.
+PROBES = ("The end, of it.", " two  spaces\nand a\tline ", "É#1 don't STOP!?", "naïve $$$ ÜBER%% a", "x")
 
 
 class Words(dict):
@@ -36,20 +41,24 @@ class Words(dict):
 
     def __init__(self, tokenizer):
         super().__init__()
-        self.tokenizer = tokenizer
+        self.tokenizer, self.simple = tokenizer, False
+
+    def encoded(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        m = SIMPLE.fullmatch(word)
+        m = SIMPLE.fullmatch(word) if self.simple else None
         if m and (core := m[1].lower()) != word:
             found = self[core] + self[m[2]] if m[2] else self[core]
         else:
-            found = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+            found = self.encoded(word)
         self[word] = found
         return found
 
 
 class WordEncoder:
-    """Ids of whole texts by the tokenizers library. Its pattern never spans white space, so every distinct word is encoded once."""
+    """Ids of whole texts by the tokenizers library. If its pattern never spans white space, every distinct word is encoded once; a
+    tokenizer that reads PROBES otherwise gets whole texts."""
 
     def __init__(self, path: str, keep: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -60,9 +69,15 @@ class WordEncoder:
         tokenizer.no_padding()
         self.known = Words(tokenizer)
         self.keep = keep
+        join = lambda t: b"".join([self.known.encoded(w) for w in WORD.findall(t)])
+        self.by_words = all(join(t) == self.known.encoded(t) for t in PROBES)
+        words = [m for t in PROBES for w in WORD.findall(t) if (m := SIMPLE.fullmatch(w))]
+        self.known.simple = all(self.known.encoded(m[0]) == self.known.encoded(m[1].lower()) + self.known.encoded(m[2]) for m in words)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
+        if not self.by_words:
+            return [self.known.encoded(t) for t in texts]
         if len(self.known) > self.keep:
             self.known.clear()
         get, find = self.known.__getitem__, WORD.findall
