@@ -5,6 +5,8 @@ merge rank to all of its positions; active ranks are taken in ascending order, e
 the lists of the neighbouring pairs are updated.  Encoded pieces are kept by text, so each distinct piece is merged once a worker.
 
 Null texts encode as empty; empty texts give no ids.  Repeated rows and null ids pass through unchanged, one output row per input row.
+Very long texts are encoded whole; of equal pairs the leftmost is merged first, so there are no ties; an empty table gives no rows;
+other columns take no part, whatever their names.
 """
 
 from __future__ import annotations

@@ -1,10 +1,14 @@
 """Registered corpus queries do the whole job: rows that a narrower form of them would leave out."""
 
 import hashlib
+import math
+import os
+import random
+import zlib
 
 import numpy as np
 
-from tessera.llm import lines, queries, search, suffixes
+from tessera.llm import classifier, lines, packing, queries, rules, search, suffixes
 
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -137,3 +141,97 @@ def test_copies_are_fetched_once(spark):
     assert 0 < bodies.count() == need.dropDuplicates(["h", "th", "pos"]).count() < 30
     got = {(r["n_bytes"], r["n_removed"]) for r in suffixes.dedup_substrings(docs).collect()}
     assert got == {(900, 900), (900, 899), (5, 0)}
+
+
+def plain_score(net, text):
+    """The network's score by loops over positions, filters and chunks."""
+    size = net.step * net.block
+    n = max(1, -(-len(text) // size))
+    data = text.ljust(n * size, b"\0") + bytes(net.width)
+    blocks = []
+    for b in range(n):
+        tops = []
+        for f in range(net.filters):
+            tops.append(max(sum(float(net.table[k, data[(b * net.block + i) * net.step + k], f]) for k in range(net.width)) for i in range(net.block)))
+        blocks.append([max(0.0, x + float(net.bias[f])) for f, x in enumerate(tops)])
+    chunks = [[max(x, y) for x, y in zip(blocks[b], blocks[b + 1 if b + 1 < n else max(b - 1, 0)])] for b in range(n)]
+    vector = [sum(c[f] for c in chunks) / n for f in range(net.filters)] + [max(c[f] for c in chunks) for f in range(net.filters)]
+    return 1 / (1 + math.exp(-sum(a * float(w) for a, w in zip(vector, net.out)) - float(net.out_bias[0])))
+
+
+def test_network_by_loops():
+    rng = random.Random(4)
+    texts = [bytes(rng.choice(b"abc #") for _ in range(n)) for n in (0, 1, 255, 256, 257, 900)] + [bytes(8)]
+    net = classifier.ByteNet().fit(texts * 3, np.array([1, 0, 1, 0, 1, 0, 1] * 3, np.float32), epochs=2)
+    assert np.allclose(net.score(texts), [plain_score(net, t) for t in texts], atol=1e-5)  # all at once, of differing lengths
+
+
+def test_network_learns_from_bounded_bytes(spark):
+    docs = spark.createDataFrame([(i, f"{'ab' if i % 2 else '##'} " * 200) for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    assert isinstance(classifier.train(docs, labels), classifier.ByteNet)
+    assert classifier.train(docs, labels, most_bytes=10) == 0.5  # room for no text
+
+
+SF = "/root/testdata/sf0.01"
+
+
+def held_out(spark):
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect() if r["quality"] is not None}
+    return {i: q for i, q in labels.items() if zlib.crc32(str(i).encode()) % 5 == 0}
+
+
+def test_classifier_query_on_held_out_labels(spark):
+    if not os.path.isdir(SF):
+        return
+    got = {r["doc_id"]: r for r in queries.op8_quality_classifier(spark, SF).collect()}
+    labels = {i: q for i, q in held_out(spark).items() if i in got}
+    assert all(got[i]["held_out"] for i in labels)
+    good, bad = ([got[i]["score"] for i, q in labels.items() if q == x] for x in (1, 0))
+    assert sum((a > b) + (a == b) / 2 for a in good for b in bad) / len(good) / len(bad) > 0.97
+    assert np.mean([a >= 0.3 for a in good]) > 0.97
+
+
+def test_rules_on_labels_that_the_forest_has_not_seen(spark):
+    if not os.path.isdir(SF):
+        return
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    unseen = held_out(spark)
+    got = {r["doc_id"]: r for r in rules.judge_documents(docs, labels.where(~labels["doc_id"].isin(list(unseen)))).collect()}
+    lost = lambda q: np.mean([not got[i]["kept"] for i, x in unseen.items() if x == q and not (q and got[i]["base_failed"])])
+    assert lost(0) > 0.6 and lost(1) < 0.06
+
+
+def test_forest_by_loops(spark):
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice("abcdefg#") * rng.randint(1, 9) for _ in range(rng.randint(5, 80)))) for i in range(80)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, int(i % 5 > 0)) for i in range(80)], "doc_id long, quality int")
+    forest, limit = rules.fit_forest(docs, labels)
+    harmonic = lambda n: 0.0 if n < 2 else 1.0 if n == 2 else 2 * (math.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
+
+    def score(stats):
+        total = 0.0
+        for feature, cut, left, right, path in forest.trees:
+            at = 0
+            while feature[at] >= 0:
+                at = int(left[at] if stats[feature[at]] <= cut[at] else right[at])
+            total += path[at]
+        return 2 ** (-total / len(forest.trees) / harmonic(forest.sample))
+
+    counts = {i: rules.text_counts(t.encode()) for i, t in rows}
+    fit = sorted((score(s) for i, (c, s) in counts.items() if c[0] >= 20 and i % 5), reverse=True)
+    assert math.isclose(limit, fit[min(len(fit) - 1, int(len(fit) * 0.008))], rel_tol=1e-9)
+    got = {r["doc_id"]: r["kept"] for r in rules.judge_documents(docs, labels).collect()}
+    for i, (c, s) in counts.items():
+        if abs(score(s) - limit) > 1e-9:
+            assert got[i] == (c[0] >= 20 and 100 * c[4] <= 30 * c[0] and score(s) <= limit)
+
+
+def test_packing_with_another_tokenizer(tmp_path):
+    from tokenizers import Tokenizer
+
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        path = packing.default_path().replace("word_bpe_49k.json", name)
+        encoder, plain = packing.WordEncoder(path), Tokenizer.from_file(path)
+        for t in (*packing.PROBES, "Some more Text, with É and\n\n lines.  End", ""):
+            assert np.frombuffer(encoder.encode([t])[0], "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids
