@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import annotations, concentration, corpus, prompts
+from .plans import annotations, answers, concentration, corpus, mixing, prompts, quality, selection, verify
 from .plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "annotations", "concentration", "corpus", "prompts"]
+__all__ = ["ORACLES", "QUERIES", "annotations", "answers", "concentration", "corpus", "mixing", "prompts", "quality", "selection", "verify"]

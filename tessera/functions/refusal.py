@@ -9,9 +9,29 @@ from pyspark.sql import functions as F
 
 from .text import NUMBER_WORDS
 
-#: A small built-in vocabulary of non-answers; callers pass their own for other tasks.
-TOKENS = ("neither", "none", "both", "either", "all", "any", "neutral", "abstain", "pass", "skip", "decline", "refuse", "n/a", "na", "it depends", "depends", "subjective", "unsure", "undecided", "no", "yes", "n", "x", "y", "z", "?")
-PREFIXES = ("it depends on", "as an ai", "i cannot ", "i can't ", "i'm unable", "i'm sorry", "none of ", "neither of ", "no single ", "your choice", "this is subjective")
+#: What counts as no choice if it is all that the braces hold, in lower case.
+TOKENS = (
+    "neither", "none", "both", "either", "all", "any", "all of them", "all of the above", "none of the above", "no preference", "no opinion", "no choice", "no answer",
+    "no comment", "no winner", "no best", "no single", "no specific", "no one option", "no specific choice",
+    "neutral", "neutrality", "impartial", "impartiality", "abstain", "abstention", "pass", "i'll pass", "skip", "decline", "refuse", "n/a", "na", "not applicable", "not relevant", "tbd",
+    "no position", "no stance", "i decline", "i decline to choose", "decline to choose", "i refuse to choose", "refuse to choose",
+    "i cannot", "i can't", "i won't", "i don't", "cannot", "cannot choose", "cannot decide", "cannot select", "cannot answer", "i cannot choose", "i cannot decide", "i cannot select", "i cannot answer",
+    "i cannot pick", "unable", "i'm unable", "i am unable",
+    "it depends", "it_depends", "depends", "subjective", "personal preference", "personal choice", "your choice", "user choice", "user preference", "up to you", "individual choice", "individual preference",
+    "varies", "various", "different things", "multiple", "many", "several", "mixed", "context dependent", "context-dependent",
+    "unanswerable", "no consensus", "no agreement", "no definitive answer", "no right answer", "no correct answer", "no objective answer", "no factual answer", "no single answer", "no one answer",
+    "unsure", "undecided", "indecisive", "unclear", "ambiguous", "i don't know", "no idea", "not sure", "hard to say", "hard to choose", "difficult to choose", "difficult to say",
+    "as an ai", "i am an ai", "ai", "ai assistant", "ai language model",
+    "your_choice", "{your_choice}", "choice", "option", "one option", "your option", "answer here", "fill in", "to be decided", "...", "…", "[choice]", "<choice>", "x", "y", "z", "?", "??",
+    "", " ", "n", "no", "yes",
+)
+#: Beginnings of what counts as no choice.
+PREFIXES = (
+    "it depends on", "it depends if", "it depends when", "this depends on", "depends on", "depending on", "as an ai", "as a neutral", "as an assistant", "i cannot ", "i can't ", "i won't ",
+    "i'm not able", "i am not able", "i'm unable", "i am unable", "i'm sorry", "i am sorry", "sorry, i", "i don't have a preference", "no single ", "no specific ", "no best ", "no one ",
+    "none of ", "neither of ", "neither is ", "neither has ", "neither one ", "both are ", "both are equally", "both have ", "all are ", "this is subjective", "this is a subjective",
+    "this is a personal", "this is a matter of", "this is too broad", "this is too vague", "the choice depends", "the answer depends", "the best depends", "your choice", "your decision", "your preference",
+)
 
 
 def brace_answer(response: Column, refusals: tuple[str, ...] = TOKENS, prefixes: tuple[str, ...] = PREFIXES) -> Column:

@@ -26,17 +26,6 @@ def stem(token: Column) -> Column:
     return out
 
 
-def tokens(text: Column, pattern: str = "[a-zA-Z0-9]+") -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(f"({pattern})"), 1)
-
-
-def canonical(text: Column, lemma=lambda t: t) -> Column:
-    """Lower-case tokens without stop words, lemmatised by the given expression; the lower-case text if nothing is left."""
-    kept = F.filter(tokens(text), lambda t: ~t.isin(*STOPWORDS))
-    joined = F.array_join(F.transform(kept, lambda t: F.when(t.rlike("^[a-z]+$"), lemma(t)).otherwise(t)), " ")
-    return F.when(joined == "", F.lower(text)).otherwise(joined)
-
-
 def squad(text: Column) -> Column:
     """Lower case, no ASCII punctuation, no articles, single spaces."""
     out = F.regexp_replace(F.lower(text), r"[!-/:-@\[-`{-~]", "")
@@ -52,11 +41,3 @@ def contains_any(text: Column, words: list[str] | tuple[str, ...]) -> Column:
     """Whether the lower-case text holds any of the literal strings."""
     low = F.lower(text)
     return reduce(lambda a, b: a | b, (low.contains(w) for w in words))
-
-
-def surface_match(a: Column, b: Column) -> Column:
-    """Equal lemma strings, equal stems, or containment of the word sets either way; false for empty answers."""
-    wa, wb = tokens(a, r"[a-zA-Z]+|\d+"), tokens(b, r"[a-zA-Z]+|\d+")
-    sa, sb = F.transform(wa, stem), F.transform(wb, stem)
-    inside = (F.size(F.array_except(wa, wb)) == 0) | (F.size(F.array_except(wb, wa)) == 0)
-    return (F.size(wa) > 0) & (F.size(wb) > 0) & ((wa == wb) | (sa == sb) | inside)

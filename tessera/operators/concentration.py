@@ -78,6 +78,6 @@ def pi_bins(classified: DataFrame, n: int = 10) -> DataFrame:
 def shared_axis(a: DataFrame, b: DataFrame, top: int = 3) -> DataFrame:
     """answer, count_a, count_b on one axis: the commonest answers of both sides together, the rest pooled."""
     both = a.groupBy("answer").agg(F.count("*").alias("ca")).join(b.groupBy("answer").agg(F.count("*").alias("cb")), "answer", "full").select("answer", F.coalesce("ca", F.lit(0)).alias("ca"), F.coalesce("cb", F.lit(0)).alias("cb"))
-    rank = F.row_number().over(Window.orderBy((F.col("ca") + F.col("cb")).desc(), "answer"))  # over distinct answers only
-    label = F.when(F.col("r") <= top, F.col("answer")).otherwise("(other)")
-    return both.withColumn("r", rank).groupBy(label.alias("label")).agg(F.sum("ca").alias("count_a"), F.sum("cb").alias("count_b"))
+    head = both.orderBy((F.col("ca") + F.col("cb")).desc(), "answer").limit(top).select("answer", F.lit(True).alias("top"))
+    label = F.when(F.col("top"), F.col("answer")).otherwise("(other)")
+    return both.join(F.broadcast(head), "answer", "left").groupBy(label.alias("label")).agg(F.sum("ca").alias("count_a"), F.sum("cb").alias("count_b"))  # `top` rows

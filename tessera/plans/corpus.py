@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators.selection import ngrams
+from ..operators import grams
+from ..operators.ordered import running
 from .registry import query, table
 
 
@@ -47,9 +48,7 @@ def consecutive_repeats(spark, sf_dir):
 @query(r"""WITH d AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> '') AS w FROM documents), g AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i+1] || ' ' || w[i+2])) AS g FROM d)
 SELECT doc_id, count(*) AS repeated, max(n) AS most FROM (SELECT doc_id, g, count(*) AS n FROM g GROUP BY 1, 2 HAVING count(*) >= 2) GROUP BY 1""")
 def ngram_repeats(spark, sf_dir):
-    words = F.filter(F.split(F.lower("text"), r"\s+"), lambda x: x != "")
-    g = table(spark, sf_dir, "documents").select("doc_id", F.explode(ngrams(words, 3, 3)).alias("g")).groupBy("doc_id", "g").agg(F.count("*").alias("n")).where("n >= 2")
-    return g.groupBy("doc_id").agg(F.count("*").alias("repeated"), F.max("n").alias("most"))
+    return grams.repeats(table(spark, sf_dir, "documents"))
 
 
 @query("SELECT doc_id, len(regexp_extract_all(text, '[äöüß]')) AS hits, round(len(regexp_extract_all(text, '[äöüß]')) / length(text), 6) AS ratio FROM documents WHERE length(text) > 0 AND len(regexp_extract_all(text, '[äöüß]')) / length(text) >= 0.01")
@@ -89,10 +88,8 @@ sc AS (SELECT doc_id, item_id, count(*) / any_value(n) AS score FROM hit GROUP B
 
 def _scores(spark, sf_dir):
     """doc_id, item_id, score: the share of an item's token places that eight-word runs shared with the document cover."""
-    words = F.filter(F.split(F.lower("text"), SPLIT), lambda x: x != "")
-    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(ngrams(words, 8, 8)).alias("g")).distinct()
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.size(words).alias("n"), F.posexplode(ngrams(words, 8, 8)).alias("s", "g")).groupBy("item_id", "g").agg(F.max("s").alias("s"), F.first("n").alias("n"))
-    hit = d.join(b, "g").select("doc_id", "item_id", "n", F.explode(F.sequence("s", F.col("s") + 7)).alias("p")).distinct()
+    found = grams.shared_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 8, SPLIT)
+    hit = found.select("doc_id", "item_id", "n", F.explode(F.sequence("s", F.col("s") + 7)).alias("p")).distinct()
     return hit.groupBy("doc_id", "item_id").agg((F.count("*") / F.first("n")).alias("score"))
 
 
@@ -126,15 +123,17 @@ def mixture_apportion(spark, sf_dir):
 @query("""WITH h AS (SELECT doc_id, source, n_chars, sum(n_chars) OVER (PARTITION BY source ORDER BY (doc_id * 2654435761) % 4294967296, doc_id) AS run FROM documents)
 SELECT doc_id, source, run::BIGINT AS run FROM h WHERE run <= 20000""")
 def token_sample(spark, sf_dir):
-    w = Window.partitionBy("source").orderBy((F.col("doc_id") * 2654435761) % 4294967296, "doc_id")
-    return table(spark, sf_dir, "documents").select("doc_id", "source", F.sum("n_chars").over(w).alias("run")).where("run <= 20000")
+    order = [(F.col("doc_id") * 2654435761) % 4294967296, F.col("doc_id")]
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
+    return running(d, order, F.col("n_chars"), "run", "source").where("run <= 20000").select("doc_id", "source", "run")
 
 
 @query("""WITH r AS (SELECT doc_id, source, n_chars, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id) - n_chars AS start FROM documents), t AS (SELECT source, floor(sum(n_chars) / 4096)::BIGINT AS chunks FROM documents GROUP BY 1),
 x AS (SELECT doc_id, source, unnest(range((start // 4096)::BIGINT, ((start + n_chars - 1) // 4096)::BIGINT + 1)) AS chunk, start, n_chars FROM r WHERE n_chars > 0)
 SELECT doc_id, x.source, chunk, (least(start + n_chars, (chunk + 1) * 4096) - greatest(start, chunk * 4096))::BIGINT AS length FROM x JOIN t USING (source) WHERE chunk < chunks""")
 def concat_chunk(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("n_chars > 0").select("doc_id", "source", "n_chars", (F.sum("n_chars").over(Window.partitionBy("source").orderBy("doc_id")) - F.col("n_chars")).alias("start"))
+    d = table(spark, sf_dir, "documents").where("n_chars > 0").select("doc_id", "source", "n_chars")
+    d = running(d, [F.col("doc_id")], F.col("n_chars"), "run", "source").withColumn("start", F.col("run") - F.col("n_chars"))
     t = d.groupBy("source").agg(F.floor(F.sum("n_chars") / 4096).alias("chunks"))
     x = d.withColumn("chunk", F.explode(F.sequence(F.floor(F.col("start") / 4096), F.floor((F.col("start") + F.col("n_chars") - 1) / 4096)))).join(t, "source").where("chunk < chunks")
     return x.select("doc_id", "source", "chunk", (F.least(F.col("start") + F.col("n_chars"), (F.col("chunk") + 1) * 4096) - F.greatest("start", F.col("chunk") * 4096)).alias("length"))

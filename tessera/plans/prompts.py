@@ -6,32 +6,60 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import refusal, text
+from ..functions.text import NUMBER_WORDS
+from ..operators import grams
 from ..operators import selection as ops
+from ..operators.ordered import ranked
 from .registry import query, table
 
-NOISE = ("```", "import ", " python ", "tion", "shing")
+#: Documents with a word or two put before them, so that these tables' prose has prompts among it.
+PROMPTS = """(SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'Choose a random word: ' WHEN 1 THEN 'Write a Python function that generates a RANDOM ' WHEN 2 THEN 'Randomly pick an item ' ELSE '' END || text AS text FROM documents)"""
 
 
-@query("SELECT count(*) AS n_in, sum(k::INT)::BIGINT AS n_keyword, sum((k AND b)::INT)::BIGINT AS n_noise, sum((k AND NOT b)::INT)::BIGINT AS n_kept FROM (SELECT contains(lower(text), 'the ') AS k, (" + " OR ".join(f"contains(lower(text), '{w}')" for w in NOISE) + ") AS b FROM documents)")
+def _prompts(spark, sf_dir):
+    k = F.col("doc_id") % 5
+    head = F.when(k == 0, "Choose a random word: ").when(k == 1, "Write a Python function that generates a RANDOM ").when(k == 2, "Randomly pick an item ").otherwise("")
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat(head, "text").alias("text"))
+
+
+@query(f"SELECT count(*) AS n_in, sum(k::INT)::BIGINT AS n_keyword, sum((k AND b)::INT)::BIGINT AS n_noise, sum((k AND NOT b)::INT)::BIGINT AS n_kept FROM (SELECT contains(lower(text), 'random') AS k, (" + " OR ".join(f"contains(lower(text), '{w}')" for w in ops.NOISE) + f") AS b FROM {PROMPTS})")
 def keyword_funnel(spark, sf_dir):
-    return ops.funnel(table(spark, sf_dir, "documents"), "the ", NOISE)
+    return ops.funnel(_prompts(spark, sf_dir))
 
 
-@query(r"""WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM documents),
+RANKED = r"""WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM {docs}),
 g AS (SELECT doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i+1]), list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i+1] || ' ' || w[i+2]))) AS term FROM d),
 tf AS (SELECT doc_id, term, count(*) AS tf FROM g GROUP BY 1, 2), nd AS (SELECT count(*) AS n FROM documents),
-idf AS (SELECT term, ln((1 + (SELECT n FROM nd)) / (1 + count(*))::DOUBLE) + 1 AS idf FROM tf GROUP BY 1),
+idf AS (SELECT term, ln((1 + (SELECT n FROM nd)) / (1 + count(*))::DOUBLE) + 1 AS idf FROM tf GROUP BY 1 ORDER BY sum(tf) DESC, term LIMIT 200000),
 w AS (SELECT doc_id, term, (1 + ln(tf)) * idf AS w FROM tf JOIN idf USING (term)),
-s AS (SELECT i AS seed, string_split(p, ' ') AS w FROM (VALUES (0, 'the of'), (1, 'that was the'), (2, 'la de'), (3, 'und der')) v(i, p)),
+s AS (SELECT i AS seed, string_split(p, ' ') AS w FROM (VALUES {seeds}) v(i, p)),
 sg AS (SELECT seed, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i+1]), list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i+1] || ' ' || w[i+2]))) AS term FROM s),
 sw AS (SELECT seed, term, (1 + ln(count(*))) * any_value(idf) AS w FROM sg JOIN idf USING (term) GROUP BY 1, 2),
 q AS (SELECT seed, term, w / sqrt(sum(w * w) OVER (PARTITION BY seed)) AS qw FROM sw),
 nm AS (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM w GROUP BY 1),
 dt AS (SELECT doc_id, seed, round(sum(w.w * qw) / any_value(norm), 6) AS score FROM w JOIN q USING (term) JOIN nm USING (doc_id) GROUP BY 1, 2),
-b AS (SELECT doc_id, max(score) AS score, arg_max(seed, (score, -seed)) AS seed FROM dt GROUP BY 1)
-SELECT doc_id, coalesce(score, 0.0)::DOUBLE AS score, coalesce(seed, 0)::INT AS seed FROM documents LEFT JOIN b USING (doc_id)""")
+b AS (SELECT doc_id, max(score) AS score, arg_max(seed, (score, -seed)) AS seed FROM dt GROUP BY 1),
+ranked AS (SELECT doc_id, coalesce(score, 0.0)::DOUBLE AS score, coalesce(seed, 0)::INT AS seed FROM documents LEFT JOIN b USING (doc_id))
+"""
+FOUR = ("the of", "that was the", "la de", "und der")
+_seeds = lambda phrases: ", ".join(f"({i}, '{p}')" for i, p in enumerate(phrases))
+
+
+@query(RANKED.replace("{docs}", "documents").replace("{seeds}", _seeds(FOUR)) + "SELECT * FROM ranked")
 def tfidf_rank(spark, sf_dir):
-    return ops.tfidf(table(spark, sf_dir, "documents"), ("the of", "that was the", "la de", "und der"))
+    return grams.tfidf(table(spark, sf_dir, "documents"), FOUR)
+
+
+@query(RANKED.replace("{docs}", PROMPTS).replace("{seeds}", _seeds(ops.SEEDS)) + "SELECT row_number() OVER (ORDER BY score DESC, doc_id) AS rank, doc_id, score, seed FROM ranked WHERE score >= 0.01")
+def prompt_candidates(spark, sf_dir):
+    """Prompts by the nearest of the twelve phrases, best first, cut at a least score."""
+    got = grams.tfidf(_prompts(spark, sf_dir), ops.SEEDS).where("score >= 0.01")
+    return ranked(got, [F.desc("score"), F.col("doc_id")])
+
+
+@query(RANKED.replace("{docs}", PROMPTS).replace("{seeds}", _seeds(ops.SEEDS)) + "SELECT seed, count(*) AS n, round(min(score), 6) AS low, round(avg(score), 5) AS mean, round(max(score), 6) AS high FROM ranked WHERE score > 0 GROUP BY 1")
+def seed_histogram(spark, sf_dir):
+    return grams.tfidf(_prompts(spark, sf_dir), ops.SEEDS).where("score > 0").groupBy("seed").agg(F.count("*").alias("n"), F.round(F.min("score"), 6).alias("low"), F.round(F.avg("score"), 5).alias("mean"), F.round(F.max("score"), 6).alias("high"))
 
 
 @query(r"""WITH w AS (SELECT source, lower(unnest(regexp_extract_all(text, '[a-zA-Z'']+'))) AS w FROM documents), c AS (SELECT source, w, count(*) AS n FROM w WHERE length(w) > 2 AND w NOT IN ('the', 'and', 'that') GROUP BY 1, 2),
@@ -49,13 +77,18 @@ def length_percentiles(spark, sf_dir):
     return got.select(F.explode(F.arrays_zip(F.array(*map(F.lit, p)).alias("p"), F.col("v"))).alias("z")).select(F.col("z.p").alias("p"), F.round("z.v", 6).alias("chars"))
 
 
-@query("""WITH x AS (SELECT event_id, CASE WHEN event_id % 5 = 0 THEN event_type WHEN event_id % 5 = 1 THEN '{it depends on ' || event_type || '}' WHEN event_id % 5 = 2 THEN '{Seven}' WHEN event_id % 5 = 3 THEN '{neither}' ELSE 'I say {' || event_type || '} or {b}' END AS response FROM events),
-i AS (SELECT event_id, regexp_extract(response, '\\{([^{}]+)\\}', 1) AS h FROM x)
-SELECT event_id, event_id % 5 <> 2 AND event_id % 5 <> 4 AS refused, CASE WHEN event_id % 5 = 2 THEN '7' WHEN event_id % 5 = 4 THEN lower(h) END AS answer, CASE event_id % 5 WHEN 0 THEN 'no_brace' WHEN 1 THEN 'soft_prefix' WHEN 3 THEN 'soft_token' END AS reason FROM i""".replace("\\\\", "\\"))
+#: Responses put together from words of an event, in a text that both engines read.
+SAYS = """concat(CASE WHEN event_id % 3 = 0 THEN 'I say ' ELSE '' END, CASE WHEN event_id % 7 < 6 THEN '{' ELSE '' END, CASE event_id % 11 WHEN 0 THEN ' Hard to say ' WHEN 1 THEN 'No preference' WHEN 2 THEN concat('As a neutral ', event_type)
+ WHEN 3 THEN concat('neither is ', event_type) WHEN 4 THEN 'SEVEN' WHEN 5 THEN ' ' WHEN 6 THEN 'Yes' WHEN 7 THEN concat(event_type, ' ', user_id) WHEN 8 THEN 'i''ll pass' ELSE event_type END, CASE WHEN event_id % 7 < 6 THEN '} or {b}' ELSE '' END)"""
+
+
+@query("""WITH x AS (SELECT event_id, """ + SAYS + """ AS response FROM events),
+h AS (SELECT event_id, response, regexp_extract(response, '\\{([^{}]+)\\}', 1) AS h FROM x), i AS (SELECT *, lower(trim(h)) AS t FROM h),
+r AS (SELECT *, CASE WHEN trim(response) = '' OR h = '' THEN 'no_brace' WHEN t = '' THEN 'empty_brace' WHEN t IN (""" + ", ".join("'" + w.replace("'", "''") + "'" for w in refusal.TOKENS) + """) THEN 'soft_token'
+ WHEN """ + " OR ".join("starts_with(t, '" + w.replace("'", "''") + "')" for w in refusal.PREFIXES) + f""" THEN 'soft_prefix' END AS reason FROM i)
+SELECT event_id, reason IS NOT NULL AS refused, CASE WHEN reason IS NULL THEN coalesce(MAP {{{", ".join(f"'{k}': '{v}'" for k, v in NUMBER_WORDS.items())}}}[t], t) END AS answer, reason FROM r""")
 def refusal_classify(spark, sf_dir):
-    k = F.col("event_id") % 5
-    r = F.when(k == 0, F.col("event_type")).when(k == 1, F.concat(F.lit("{it depends on "), "event_type", F.lit("}"))).when(k == 2, "{Seven}").when(k == 3, "{neither}").otherwise(F.concat(F.lit("I say {"), "event_type", F.lit("} or {b}")))
-    return table(spark, sf_dir, "events").select("event_id", refusal.brace_answer(r).alias("a")).select("event_id", "a.*")
+    return table(spark, sf_dir, "events").select("event_id", refusal.brace_answer(F.expr(SAYS)).alias("a")).select("event_id", "a.*")
 
 
 @query(r"""SELECT p_partkey, trim(regexp_replace(regexp_replace(regexp_replace(lower(p_name), '[!-/:-@\[-`{-~]', '', 'g'), '\b(a|an|the)\b', ' ', 'g'), '\s+', ' ', 'g')) AS normal FROM part""")
@@ -124,11 +157,6 @@ def family_size(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id").join(ends, "vec_id", "left").select("vec_id", (1 + F.coalesce("n", F.lit(0))).alias("family_size"))
 
 
-@query()  # tested against a sequential walk: a recursive query over the walk is too slow
-def greedy_select(spark, sf_dir):
-    return ops.greedy_keep(table(spark, sf_dir, "embeddings"), _pairs(spark, sf_dir))
-
-
 @query("SELECT doc_id, text_id, copies FROM (SELECT doc_id, min(doc_id) OVER w AS text_id, count(*) OVER w AS copies FROM documents WINDOW w AS (PARTITION BY text)) WHERE doc_id = text_id")
 def exact_dedup_keep_first(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("h"))

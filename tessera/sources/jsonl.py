@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -13,9 +13,10 @@ def read_jsonl(spark: SparkSession, path: str, schema: StructType | str, toleran
 
 
 def write_jsonl(df: DataFrame, path: str, gzip: bool = False, append: bool = False) -> int:
-    """Write and return the number of rows written."""
-    df.write.mode("append" if append else "overwrite").option("compression", "gzip" if gzip else "none").json(path)
-    return df.count()
+    """Write and return the number of rows written, which is observed as they are."""
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append" if append else "overwrite").option("compression", "gzip" if gzip else "none").json(path)
+    return seen.get["n"]
 
 
 def first_of(df: DataFrame, *names: str) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -25,5 +25,14 @@ def completeness(wanted: DataFrame, done: DataFrame) -> DataFrame:
 
 
 def append_stream(source: DataFrame, step: Callable[[DataFrame], DataFrame], path: str, checkpoint: str):
-    """Apply a step to each micro-batch and append its rows; restarts from the checkpoint."""
-    return source.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, _: step(df).write.mode("append").json(path)).trigger(availableNow=True).start()
+    """Apply a step to each micro-batch and append its rows; restarts from the checkpoint. Each batch has a folder of its own, which a
+    batch that is tried again writes anew, so no row comes twice. read_appended() reads them."""
+
+    def write(df: DataFrame, batch: int) -> None:
+        step(df).write.mode("overwrite").json(f"{path}/batch={batch}")
+
+    return source.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write).trigger(availableNow=True).start()
+
+
+def read_appended(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).json(path)

@@ -3,11 +3,12 @@
 import json
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from tessera.functions import refusal, text
-from tessera.operators import concentration, selection
-from tessera.sources import jsonl
+from tessera.functions import answers, refusal, repetition, text, verify
+from tessera.operators import clusters, concentration, grams, graph, mixing, ordered, selection
+from tessera.sources import jsonl, release
 from tessera.streaming import resume
 
 
@@ -21,14 +22,50 @@ def test_stem(spark):
 
 
 def test_surface_match(spark):
-    m = text.surface_match(F.col("a"), F.col("b"))
-    for a, b, want in [("ISO", "ISO 9001", True), ("Monarch", "Monarch butterfly", True), ("", "x", False), ("42", "Forty-two", False)]:
-        assert one(spark, m, a=a, b=b) is want
+    m = answers.surface_match(F.col("a"), F.col("b"))
+    goldens = [
+        ("Monarchs", "monarch", True), ("ISO", "ISO 9001", True), ("Monarch", "Monarch butterfly", True), ("", "x", False), ("42", "Forty-two", False), ("modernist", "modernity", True),
+        ("7", "seven", True), ("1st place", "first place", True), ("self-defense", "self defend", True), ("decision", "decide", True), ("red wine", "white wine", False), ("boxes", "box", True),
+    ]
+    for a, b, want in goldens:
+        assert one(spark, m, a=a, b=b) is want, (a, b)
+        assert one(spark, m, a=b, b=a) is want
+
+
+def test_lemmas_of_a_table(spark):
+    lemma = answers.table_lemma([("teeth", "tooth", "teeth"), ("ran", "ran", "run"), ("saws", "saw", "see")])
+    words = lambda x: one(spark, F.array_join(answers.lemma_tokens(F.col("x"), lemma), " "), x=x)
+    assert words("Teeth ran_cities SAWS 12 100") == "tooth run city saw twelve 100"
+    assert one(spark, answers.canonical(F.col("x"), lemma), x="The teeth of a City") == "tooth city"
+    assert one(spark, answers.canonical(F.col("x"), lemma), x="The of") == "the of"
+    with pytest.raises(ValueError):
+        answers.table_lemma([("x", "y", "z")] * (answers.MOST_LEMMAS + 1))
+
+
+def test_cluster_match(spark):
+    rows = spark.sql("SELECT named_struct('canonical', 'Monarch', 'surface_forms', map('Monarch', 2, ' The King ', 1), 'lemma_keys', array('monarch', 'king')) c")
+    for response, want in {"the king": True, "Monarchs": True, "monarch butterfly": True, "queen": False, " ": False}.items():
+        assert rows.select(answers.cluster_match(F.lit(response), F.col("c")).alias("x")).first()["x"] is want, response
+
+
+def test_clusters_and_framed_answers(spark):
+    said = ["ISO", "ISO 9001", "iso", "Monarchs", "the monarch", "Monarch", "realism", "reality", "cat"]
+    rows = spark.createDataFrame([(1, i, x) for i, x in enumerate(said)], "entry long, pos long, response string")
+    vectors = {"iso": [1.0, 0.0], "iso 9001": [0.8, 0.6], "monarch": [0.0, 1.0], "realism": [0.6, 0.8], "reality": [0.9, 0.1], "cat": [-1.0, 0.0]}
+    table = spark.createDataFrame(list(vectors.items()), "key string, embedding array<double>")
+    got = {r["canonical"]: r for r in clusters.clusters(rows, table).collect()}
+    assert {k: (r["count"], round(r["rate"], 6), r["lemma_keys"]) for k, r in got.items()} == {
+        "ISO": (5, round(5 / 9, 6), ["iso", "iso 9001", "realism", "reality"]), "Monarch": (3, round(3 / 9, 6), ["monarch"]), "cat": (1, round(1 / 9, 6), ["cat"]),
+    }
+    framed = spark.createDataFrame([(1, 0, "iso 9001"), (1, 1, "dogs"), (1, 2, "dog"), (1, 3, "king")], "entry long, pos long, response string")
+    more = spark.createDataFrame([("iso 9001", [1.0, 0.0]), ("dog", [0.0, 1.0]), ("king", [-1.0, 0.0])], "key string, embedding array<double>")
+    r = clusters.framed_follow(clusters.clusters(rows, table), clusters.clusters(framed, more)).first()
+    assert (r["mode"], r["fr"], r["flip_target"], r["flip_rate"]) == ("ISO", 0.25, "dog", 0.5)
 
 
 def test_refusal(spark):
     r = refusal.brace_answer(F.col("t"))
-    for t, want in {"{Monarch}": (False, "monarch", None), "As an AI, I cannot": (True, None, "no_brace"), "{neither}": (True, None, "soft_token"), "{it depends on context}": (True, None, "soft_prefix"), "{seven}": (False, "7", None)}.items():
+    for t, want in {"{Monarch}": (False, "monarch", None), "As an AI, I cannot": (True, None, "no_brace"), "{neither}": (True, None, "soft_token"), "{it depends on context}": (True, None, "soft_prefix"), "{seven}": (False, "7", None), "{ Hard to say }": (True, None, "soft_token"), "{as a neutral party}": (True, None, "soft_prefix"), "{ }": (True, None, "empty_brace"), "": (True, None, "no_brace")}.items():
         assert tuple(one(spark, r, t=t)) == want
 
 
@@ -72,3 +109,198 @@ def test_resume(spark):
     done = spark.createDataFrame([(1, 1, None), (1, 2, "timeout"), (2, 1, "")], "entry int, replicate int, error string")
     assert resume.remaining(want, done).count() == 4
     assert {r["entry"]: r["present"] for r in resume.completeness(want, done).collect()} == {1: 1, 2: 1}
+
+
+def test_vocabularies_are_whole():
+    assert len(set(selection.NOISE)) == len(selection.NOISE)
+    assert len(refusal.PREFIXES) == len(set(refusal.PREFIXES)) == 45 and len(refusal.TOKENS) == len(set(refusal.TOKENS))
+
+
+def test_passages():
+    assert repetition.paragraphs("Para 1.\n\nPara 2.\n\n\nPara 3.") == ["Para 1.", "Para 2.", "Para 3."]
+    assert len(repetition.sentences("Sentence 1. Sentence 2! Sentence 3?")) == 3
+    assert repetition.is_formula("x = y + 1") and not repetition.is_formula("This is normal text")
+    assert repetition.is_statement("import numpy as np") and repetition.is_statement("return True") and not repetition.is_statement("This is not code")
+    assert repetition.is_statement("open (bracket") and not repetition.is_statement("a (closed) pair")
+    assert repetition.is_phrase("this") and repetition.is_phrase("aa < bb") and not repetition.is_phrase("qqq zzz")
+    assert repetition.is_complex("math.log(2)") and not repetition.is_complex("plain")
+    assert repetition.is_list("1. a\n2. b") and repetition.is_list("- a\nx\n• b") and not repetition.is_list("1. a") and not repetition.is_list("1. a\n- b")
+    assert repetition.is_transition(" However, ") and not repetition.is_transition("thus,")
+
+
+def test_block_repetition():
+    verdict = lambda t, *a: (repetition.repetition(t, *a) or (None,))[0]
+    passage = "a block of words that comes back"
+    assert verdict("\n\n".join([passage] * 25)) == "paragraph_repeated_25x"
+    assert verdict("\n\n".join([passage] * 24)) is None
+    apart = lambda n: "\n\n".join(f"{passage}\n\nqqq {i} zzz" for i in range(n))
+    assert verdict(apart(30)) == "paragraph_repeated_30x" and verdict(apart(29)) is None  # never neighbours: 2 x 25, 30 at most
+    assert verdict("\n\n".join(["x = 1, and so on for it"] * 49)) is None and verdict("\n\n".join(["x = 1, and so on for ever"] * 50)) == "paragraph_repeated_50x"  # formulas: twice
+    assert verdict("\n\n".join(["two lines\nof qqq"] * 99)) is None and verdict("\n\n".join(["two lines\nof qqq"] * 100)) == "paragraph_repeated_100x"  # lines: four times
+    assert verdict("\n\n".join(["import numpy as np"] * 300)) is None
+    assert verdict("qqq zzz xxx. " * 20) == "line_repeated_20x_consecutive" and verdict("qqq zzz xxx. " * 19) is None
+    assert verdict("this thing. " * 40) == "line_repeated_40x_consecutive_short_phrase" and verdict("this thing. " * 39) is None
+    assert verdict("".join(f"qqq zzz xxx. zzz {i} q. " for i in range(40))) == "line_repeated_40x" and verdict("".join(f"qqq zzz xxx. zzz {i} q. " for i in range(39))) is None
+    assert verdict("qqqqqqq. " * 99) is None and verdict(None) is None and verdict("") is None
+    assert verdict("1. a\n2. b\n" + "qqq zzz xxx. " * 59) is None and verdict("1. a\n2. b. " + "qqq zzz xxx. " * 60) == "line_repeated_60x_consecutive"  # lists: three times
+
+
+def test_periodic_runs():
+    rng = random.Random(5)
+    for _ in range(60):
+        ids = [rng.randint(0, 2) for _ in range(rng.randint(0, 40))]
+        best = (0, 0, 0)
+        for p in range(1, min(13, len(ids) // 3) + 1):
+            for at in range(len(ids)):
+                times = 1
+                while ids[at + times * p : at + times * p + p] == ids[at : at + p] and len(ids[at + times * p : at + times * p + p]) == p:
+                    times += 1
+                if times >= 3 and times > best[1]:
+                    best = (p, times, at)
+        assert repetition.periodic_run(ids)[:2] == best[:2], ids
+
+
+def test_checks(spark):
+    v = lambda c, **x: one(spark, c, **x)
+    assert v(verify.number_match(F.col("t"), F.col("y")), t="costs 1,234.50 in all", y="1234.50") is True
+    assert v(verify.boxed(F.col("t")), t=r"so \boxed{1} then \boxed{\frac{1}{2^{n}}} ok") == r"\frac{1}{2^{n}}"
+    assert v(verify.boxed(F.col("t")), t="none") is None
+    assert abs(v(verify.token_f1(F.col("a"), F.col("b")), a="The cat cat sat", b="cat sat, sat") - 4 / 6) < 1e-9
+    f1 = verify.tagged_f1(F.col("t"), F.array(F.col("a"), F.col("b")))
+    assert v(f1, t="<answer>New York City!</answer>", a="x", b="new york city") == 1.0
+    assert v(f1, t="no tag", a="x", b="y") == 0.0 and v(f1, t="<answer>q</answer>", a="x", b="y") == 0.1
+
+
+def test_components(spark):
+    rng = random.Random(2)
+    links = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(40)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    got = {r["node"]: r["root"] for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {x: find(x) for x in root if find(x) != x}
+
+
+def test_running_sums(spark):
+    rows = [(f"s{i % 2}" if i % 5 else "hot", i, i * 7 % 11) for i in range(300)]
+    got = ordered.running(spark.createDataFrame(rows, "g string, i long, n long").repartition(5), [F.desc("i")], F.col("n"), by="g").collect()
+    for r in got:
+        assert r["run"] == sum(n for g, i, n in rows if g == r["g"] and i >= r["i"])
+    assert [r["rank"] for r in ordered.ranked(spark.range(50), [F.col("id")]).orderBy("id").collect()] == list(range(1, 51))
+    assert ordered.ranked(spark.range(0), [F.col("id")]).count() == 0
+
+
+def test_sample_sizes(spark):
+    def sizes(n, ratio, repeat):
+        rows = spark.createDataFrame([(str(i), *map(float, x)) for i, x in enumerate(zip(n, ratio, repeat))], "source string, n double, ratio double, repeat double")
+        return [r["size"] for r in mixing.sample_sizes(rows).orderBy("source").collect()]
+
+    assert sizes([8, 16], [0.5, 0.5], [1, 1]) == [8, 8]
+    assert sizes([8, 16], [0.5, 0.5], [2, 1]) == [12, 12]
+    assert sizes([8, 8, 16], [0.3, 0.2, 0.5], [1, 1, 1]) == [8, 5, 13]
+
+
+def test_best_fit(spark):
+    packer = mixing.BestFit(8)
+    assert [packer.add(n) for n in (8, 6, 6, 4, 3, 2, 3)] == [0, 1, 2, 3, 3, 1, 4]
+    docs = spark.createDataFrame([("a", i, n) for i, n in enumerate([8, 6, 6, 4, 3])] + [("b", 9, 20)], "source string, doc_id long, n_chars long")
+    packs = mixing.best_fit_decreasing(mixing.fragments(docs, "n_chars", 8), 8, "source", ("doc_id", "start")).collect()
+    assert {(r["doc_id"], r["start"]): r["bin"] for r in packs} == {(0, 0): 0, (1, 0): 1, (2, 0): 2, (3, 0): 3, (4, 0): 3, (9, 0): 0, (9, 8): 1, (9, 16): 2}
+    rng = random.Random(1)  # against a plain walk over all bins
+    sizes = sorted((rng.randint(1, 50) for _ in range(300)), reverse=True)
+    bins, touched, want = [], [], []
+    for step, n in enumerate(sizes):
+        fit = [b for b in range(len(bins)) if bins[b] >= n]
+        b = min(fit, key=lambda b: (bins[b], touched[b])) if fit else len(bins)
+        if not fit:
+            bins.append(50)
+            touched.append(0)
+        bins[b] -= n
+        touched[b] = step
+        want.append(b)
+    packer = mixing.BestFit(50)
+    assert [packer.add(n) for n in sizes] == want
+
+
+def test_growth_shares():
+    assert mixing.growth_shares(16, 3) == [2, 4, 10] and sum(mixing.growth_shares(100, 4)) == 100
+
+
+def test_grams_beyond_the_broadcast(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "a b c d e f g h i"), (2, "x a b c d"), (3, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(7, "b c d e"), (8, "a b c a b c"), (9, "q")], "item_id long, text string")
+    got = lambda: sorted(map(tuple, grams.shared_spans(docs, items, 3, " ").select("doc_id", "item_id", "n", "s").collect()))
+    want = [(1, 7, 4, 0), (1, 7, 4, 1), (1, 8, 6, 3), (2, 7, 4, 0), (2, 8, 6, 3)]
+    assert got() == want
+    monkeypatch.setattr(grams, "MOST_BROADCAST", 0)
+    assert got() == want
+
+
+def test_nearest(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = []
+    for i in range(60):
+        v = [rng.gauss(0, 1) for _ in range(4)]
+        n = sum(x * x for x in v) ** 0.5
+        rows.append((i, [x / n for x in v]))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    monkeypatch.setattr(selection, "MOST_QUERIES", 3)
+    got = {(r["query_id"], r["rank"]): r["vec_id"] for r in selection.nearest(df, df.where("vec_id % 10 = 0"), 4).collect()}
+    for q in range(0, 60, 10):
+        want = sorted((-round(sum(a * b for a, b in zip(rows[q][1], v)), 6), i) for i, v in rows if i != q)[:4]
+        assert [got[q, k + 1] for k in range(4)] == [i for _, i in want]
+
+
+def test_blocks_of_cosine_pairs(spark):
+    rows = [(i, [1.0, 0.0] if i % 3 else [0.0, 1.0]) for i in range(40)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for blocks in (1, 5):
+        got = [(r["a"], r["b"]) for r in selection.cosine_pairs(df, 0.9, blocks).collect()]
+        assert sorted(got) == [(i, j) for i in range(40) for j in range(i + 1, 40) if (i % 3 > 0) == (j % 3 > 0)]
+
+
+def test_release(spark, tmp_path):
+    secret = "sk-" + "a" * 30
+    prompts = spark.createDataFrame([("1", f"use {secret}", [secret, "ok"]), ("2", "plain", [])], "id string, prompt string, notes array<string>")
+    framings = spark.createDataFrame([("1", 0, "x"), ("3", 0, "y")], "id string, framing_idx int, framing string")
+    outputs = spark.createDataFrame([("1", "m", "a", None), ("2", "m", "b", "timeout"), ("9", "m", "c", None)], "id string, model string, response string, error string")
+    root = str(tmp_path / "release")
+    assert release.export_release(prompts, framings, outputs, root) == {"prompts": 2, "framings": 1, "outputs": 1}
+    back = spark.read.json(f"{root}/prompts").orderBy("id").first()
+    assert back["prompt"] == "use [REDACTED_TOKEN]" and back["notes"] == ["[REDACTED_TOKEN]", "ok"]
+    with pytest.raises(ValueError):
+        release.load_outputs(spark, root, "none", "raw", "id string")
+    path = str(tmp_path / "rows")
+    for n in (3, 2):
+        release.replace_jsonl(spark.range(n), path)
+        assert spark.read.json(path).count() == n
+    assert [r["id"] for r in release.limited(spark.range(9), 2, "id").collect()] == [0, 1] and release.limited_path("x", 5) == "x.limit5"
+    assert sorted(r["id"] for r in release.only_ids(spark.range(9), "1, 7,").collect()) == [1, 7]
+    release.shards(spark.range(600).withColumn("k", F.col("id") % 2), str(tmp_path / "shards"), "k")
+    assert spark.read.json(str(tmp_path / "shards")).count() == 600
+    df = spark.createDataFrame([(i, float(i), f"t{i}") for i in range(100)], "id long, score double, text string")
+    seen = release.preview(df, "score", "id", head=5)
+    assert sorted(r["id"] for r in seen.where("part = 'head'").collect()) == [95, 96, 97, 98, 99] and seen.where("part = 'tenth'").count() == 10
+    mark = release.fingerprint(df, "m", "id", "text")
+    assert mark == release.fingerprint(df.repartition(7), "m", "id", "text") != release.fingerprint(df.where("id <> 50"), "m", "id", "text")
+    assert release.summary(df, "score").first()["percentiles"][3] == 49.5
+
+
+def test_appended_batches_come_once(spark, tmp_path):
+    source, out, at = (str(tmp_path / x) for x in ("in", "out", "at"))
+    spark.range(5).write.json(source)
+    stream = spark.readStream.schema("id long").json(source)
+    resume.append_stream(stream, lambda df: df.withColumn("x", F.col("id") * 2), out, at).awaitTermination()
+    spark.range(5, 8).write.mode("append").json(source)
+    resume.append_stream(stream, lambda df: df.withColumn("x", F.col("id") * 2), out, at).awaitTermination()
+    (tmp_path / "at" / "commits" / "1").unlink()  # as if the last batch had failed after it wrote
+    (tmp_path / "at" / "commits" / ".1.crc").unlink(missing_ok=True)
+    resume.append_stream(stream, lambda df: df.withColumn("x", F.col("id") * 2), out, at).awaitTermination()
+    assert sorted(r["x"] for r in resume.read_appended(spark, out, "id long, x long").collect()) == [2 * i for i in range(8)]
