@@ -10,11 +10,14 @@ Completeness without all pairs of a group: first every class is compared with le
 buckets, and linked classes form components; then, in buckets that still hold several components, the classes outside the largest
 one are compared with the leaders of these and of the largest; last, those that are still outside are compared with all classes of
 other components in their bucket.  Any linked pair that shares a bucket is then joined or was compared.  Components come from alternating
-large-star and small-star steps on tables in the shared folder; nodes are named so that the classes with most shared buckets, which the
-links of the first comparison lead to, come first, and so most links form stars from the start.
+large-star and small-star steps on tables in the shared folder; nodes are numbered so that the classes with most shared buckets, which
+the links of the first comparison lead to, come first, and so most links form stars from the start.
 
 Texts without words have no set and are linked with nothing; shorter texts than a shingle are one shingle.  Null ids get the smallest
 id of their component, or their own null, and are kept only in the latter case.  Repeated rows are links of one another, as copies.
+A similarity that ties with the threshold links.  Very long texts are read whole; an empty table gives no rows; group_near takes no
+other columns, and keep_one passes all of them, as one struct while it works, so their names can't clash.  Empty rows and rows of sets
+that more than one in 10,000 rows share are dealt over all tasks in the last join.
 """
 
 from __future__ import annotations
@@ -24,10 +27,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import binary, boxed, keyed_texts, materialize, slices, unboxed
+from .common import binary, boxed, drop_materialized, frequent_keys, keyed_texts, materialize, slices, unboxed
 
 SKETCH_WORDS = 32
 #: MinHash samples that a sketch folds; the first of them make the bands.
@@ -133,34 +136,27 @@ def signatures(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
     return keyed_texts(docs).mapInArrow(run, "doc_id long, k1 long, k2 long, n long, fp binary, bands array<long>, sketch array<long>")
 
 
-def node_of(fp: str, weight: str) -> Column:
-    """A class's name among nodes: those with most weight come first, then by fp."""
-    return F.concat(F.unhex(F.lpad(F.hex(F.lit(2**62) - F.col(weight)), 16, "0")), F.col(fp))
-
-
-def print_of(node: str) -> Column:
-    """The fp in a node's name."""
-    return F.expr(f"substring({node}, 9)")
-
-
 def sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """fp, own: the full sets of the classes whose representative rows (k1, k2, fp) are wanted."""
+    """node, own: the full sets of the nodes whose representative rows (k1, k2, node) are wanted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Shingler(width, 1, 1)
         for b in slices(batches):
-            yield pa.record_batch([b.column("fp"), pa.array([own.set_of(t).view(np.int64) for t in binary(b.column("text"))], pa.list_(pa.int64()))], names=["fp", "own"])
+            yield pa.record_batch([b.column("node"), pa.array([own.set_of(t).view(np.int64) for t in binary(b.column("text"))], pa.list_(pa.int64()))], names=["node", "own"])
 
-    return keyed_texts(docs).join(wanted, ["k1", "k2"]).select("text", "fp").mapInArrow(run, "fp binary, own array<long>")
+    rows = keyed_texts(docs).join(wanted, ["k1", "k2"]).dropDuplicates(["node"])  # rows equal in id and text are one representative
+    return rows.select("text", "node").mapInArrow(run, "node long, own array<long>")
 
 
-def confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+def confirmed(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the similarity."""
-    ends = pairs.select(print_of("a").alias("fp")).distinct().unionByName(pairs.select(print_of("b").alias("fp")).distinct()).distinct()
-    own = materialize(sets(docs, classes.join(ends, "fp", "left_semi").select("k1", "k2", "fp"), width), "sets")
-    got = pairs.join(own.select(F.col("fp").alias("fa"), F.col("own").alias("sa")), print_of("a") == F.col("fa")).join(own.select(F.col("fp").alias("fb"), F.col("own").alias("sb")), print_of("b") == F.col("fb"))
+    ends = pairs.select(F.col("a").alias("node")).distinct().unionByName(pairs.select(F.col("b").alias("node")).distinct()).distinct()
+    own = materialize(sets(docs, nodes.join(ends, "node", "left_semi").select("k1", "k2", "node"), width), "sets")
+    got = pairs.join(own.select(F.col("node").alias("a"), F.col("own").alias("sa")), "a").join(own.select(F.col("node").alias("b"), F.col("own").alias("sb")), "b")
     both = F.size(F.array_intersect("sa", "sb"))
-    return got.where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+    linked = materialize(got.where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b"), "links")
+    drop_materialized(own)
+    return linked
 
 
 def is_stars(edges: DataFrame) -> bool:
@@ -178,7 +174,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.withColumnRenamed("m", "v"))
-        now = materialize(small.distinct(), "star")
+        before, now = now, materialize(small.distinct(), "star")
+        drop_materialized(before)
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
@@ -186,36 +183,37 @@ def group_near(docs: DataFrame, width: int = 5, percent: int = 80, bands: int =
     """doc_id, n_shingles, component_id, kept, k1, k2 of every document."""
     rows_ = materialize(signatures(docs, width, bands, rows), "signatures")
     classes = rows_.where("fp is not null").groupBy("fp").agg(
-        F.min("doc_id").alias("min_id"), F.min_by(F.struct("k1", "k2"), F.struct("k1", "k2")).alias("k"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")
+        F.min("doc_id").alias("min_id"), F.min_by(F.struct("k1", "k2"), F.struct("k1", "k2")).alias("k"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.count("*").alias("copies")
     )
-    classes = materialize(classes.select("fp", "min_id", "k.k1", "k.k2", "bands", "sketch"), "classes")
-    sketch = classes.select("fp", *(F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH_WORDS)))
-    names = [f"s{i}" for i in range(SKETCH_WORDS)]
-    apart = lambda x, y: sum((F.bit_count(F.col(f"{x}.{n}").bitwiseXOR(F.col(f"{y}.{n}"))) for n in names[1:]), F.bit_count(F.col(f"{x}.s0").bitwiseXOR(F.col(f"{y}.s0"))))
-    limit = most_apart(max(SAMPLES, bands * rows), percent / 100)
+    classes = materialize(classes.select("fp", "min_id", "k.k1", "k.k2", "bands", "sketch", "copies"), "classes")
 
     member = classes.select("fp", F.explode("bands").alias("key"))
     sizes = member.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     shared = materialize(member.join(sizes, "key"), "buckets")  # only buckets of two classes or more
     weight = shared.groupBy("fp").agg(F.sum("n").alias("weight"))  # a class that shares many buckets is near the middle of its group
-    shared = materialize(shared.join(weight, "fp").select("key", node_of("fp", "weight").alias("node")), "buckets")
+    # nodes are numbered in that order, once and for all: the numbers are written
+    names = [f"s{i}" for i in range(SKETCH_WORDS)]
+    nodes = classes.join(weight, "fp").select("fp", "k1", "k2", "weight", "bands", *(F.col("sketch")[i].alias(n) for i, n in enumerate(names)))
+    order = F.col("weight").desc(), F.col("fp")
+    nodes = materialize(nodes.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("node", F.monotonically_increasing_id()), "nodes")
+    before, shared = shared, materialize(shared.join(nodes.select("fp", "node"), "fp").select("key", "node"), "buckets")
+    drop_materialized(before)
+    sketch = nodes.select("node", *names)
+    apart = lambda x, y: sum((F.bit_count(F.col(f"{x}.{n}").bitwiseXOR(F.col(f"{y}.{n}"))) for n in names[1:]), F.bit_count(F.col(f"{x}.s0").bitwiseXOR(F.col(f"{y}.s0"))))
+    limit = most_apart(max(SAMPLES, bands * rows), percent / 100)
 
-    def apart_pairs(pairs: DataFrame) -> DataFrame:
-        """(a, b, d) of the distinct pairs whose sketches are near enough."""
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        got = pairs.join(sketch.alias("x"), print_of("a") == F.col("x.fp")).select("a", "b", F.struct(*names).alias("x"))
-        return got.join(sketch.alias("y"), print_of("b") == F.col("y.fp")).select("a", "b", apart("x", "y").alias("d")).where(F.col("d") <= limit)
+    def measured(pairs: DataFrame, a: str, b: str) -> DataFrame:
+        """The pairs whose sketches are near enough, with their distance d."""
+        got = pairs.join(sketch.alias("x"), F.col(a) == F.col("x.node")).select(a, b, F.struct(*(f"x.{n}" for n in names)).alias("x"))
+        return got.join(sketch.alias("y"), F.col(b) == F.col("y.node")).select(a, b, apart("x", "y").alias("d")).where(F.col("d") <= limit)
 
     # first, every class meets the leaders of its buckets: the nearest one and the one with most weight
     leaders = shared.groupBy("key").agg(F.min("node").alias("to"))
-    stars = shared.join(leaders, "key").where("node <> to").select("node", "to").distinct()
-    measured = stars.join(sketch.alias("x"), print_of("node") == F.col("x.fp")).select("node", "to", F.struct(*names).alias("x"))
-    measured = measured.join(sketch.alias("y"), print_of("to") == F.col("y.fp")).select("node", "to", apart("x", "y").alias("d")).where(F.col("d") <= limit)
-    best = measured.groupBy("node").agg(F.min("to").alias("heavy"), F.min_by("to", F.struct("d", "to")).alias("close"))
-    first = best.select("node", F.explode(F.array_distinct(F.array("heavy", "close"))).alias("to")).select(F.least("node", "to").alias("a"), F.greatest("node", "to").alias("b"))
+    stars = shared.withColumnRenamed("node", "from").join(leaders, "key").where("from <> to").select("from", "to").distinct()
+    best = measured(stars, "from", "to").groupBy("from").agg(F.min("to").alias("heavy"), F.min_by("to", F.struct("d", "to")).alias("close"))
+    first = best.select("from", F.explode(F.array_distinct(F.array("heavy", "close"))).alias("to")).select(F.least("from", "to").alias("a"), F.greatest("from", "to").alias("b"))
     tested = materialize(first.distinct(), "pairs")
-    linked = materialize(confirmed(docs, classes, tested, width, percent), "links")
-    roots = components(linked)
+    roots = components(confirmed(docs, nodes, tested, width, percent))
 
     def still_mixed() -> DataFrame:
         """key, node, root, major of the buckets that hold several components."""
@@ -228,15 +226,15 @@ def group_near(docs: DataFrame, width: int = 5, percent: int = 80, bands: int =
     rest = still_mixed()
     heads = rest.groupBy("key").agg(F.min(F.when(F.col("root") != F.col("major"), F.struct("node", "root"))).alias("own"), F.min(F.when(F.col("root") == F.col("major"), F.struct("node", "root"))).alias("other"))
     outside = rest.where("root <> major").join(heads, "key").select("node", "root", F.explode(F.array("own", "other")).alias("to")).where("root <> to.root")
-    again = apart_pairs(outside.select(F.col("node").alias("a"), F.col("to.node").alias("b"))).select("a", "b").join(tested, ["a", "b"], "left_anti")
-    again = materialize(again, "pairs")
-    more = materialize(confirmed(docs, classes, again, width, percent), "links")
+    pairs = outside.select(F.least("node", "to.node").alias("a"), F.greatest("node", "to.node").alias("b")).distinct()
+    again = materialize(measured(pairs, "a", "b").select("a", "b").join(tested, ["a", "b"], "left_anti"), "pairs")
+    more = confirmed(docs, nodes, again, width, percent)
     tested = tested.unionByName(again)
     if not more.isEmpty():
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
 
     # last, what is still apart in a bucket meets all of it
-    mixed_ = materialize(still_mixed().withColumn("fp", print_of("node")).join(sketch, "fp").join(classes.select("fp", "bands"), "fp"), "mixed")
+    mixed_ = materialize(still_mixed().join(nodes.select("node", "bands", *names), "node"), "mixed")
     here = F.col("x.key") == F.array_min(F.array_intersect("x.bands", "y.bands"))  # a pair comes out of one of its buckets only
     cross = mixed_.where("root <> major").alias("x").join(
         mixed_.alias("y"),
@@ -244,18 +242,24 @@ def group_near(docs: DataFrame, width: int = 5, percent: int = 80, bands: int =
     )
     cross = cross.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
     left = materialize(cross.join(tested, ["a", "b"], "left_anti"), "pairs")
+    drop_materialized(mixed_)
     if not left.isEmpty():
-        more = materialize(confirmed(docs, classes, left, width, percent), "links")
+        more = confirmed(docs, nodes, left, width, percent)
         if not more.isEmpty():
             roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
 
-    placed = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()).select(print_of("node").alias("fp"), "root")
-    rooted = classes.select("fp", "min_id").join(placed, "fp", "left").select("fp", "min_id", F.coalesce("root", "fp").alias("root"))
+    placed = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()).join(nodes.select("node", "fp"), "node")
+    placed = placed.join(nodes.select(F.col("node").alias("root"), F.col("fp").alias("root_fp")), "root").select("fp", "root_fp")
+    rooted = classes.select("fp", "min_id").join(placed, "fp", "left").select("fp", "min_id", F.coalesce("root_fp", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("min_id").alias("component_id"))
-    found = rooted.join(least, "root").select("fp", "component_id", "root")
-    out = rows_.select("doc_id", "n", "fp", "k1", "k2").join(found, "fp", "left")
-    component = F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "k1", "k2", "root")
+    found = materialize(rooted.join(least, "root").select("fp", "component_id", "root"), "found")
+    # rows with empty sets need no partner, and what the frequent sets need is small enough to be broadcast
+    hot = F.broadcast(found.join(F.broadcast(frequent_keys(classes, ["fp"], "copies")), "fp").select("fp", F.struct("component_id", "root").alias("hot")))
+    out = rows_.select("doc_id", "n", "fp", "k1", "k2").join(hot, "fp", "left")
+    own = F.when(F.col("fp").isNull() | F.col("hot").isNotNull(), F.unhex(F.hex(F.monotonically_increasing_id()))).otherwise(F.col("fp"))
+    out = out.withColumn("key", own).join(found.select(F.col("fp").alias("key"), F.struct("component_id", "root").alias("cold")), "key", "left").withColumn("at", F.coalesce("hot", "cold"))
+    component = F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("at.component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "k1", "k2", F.col("at.root").alias("root"))
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
