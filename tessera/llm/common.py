@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -12,7 +13,7 @@ from pyspark.sql import types as T
 
 from ..sources.shared import drop_materialized, materialize
 
-__all__ = ["binary", "boxed", "drop_materialized", "frequent_keys", "keyed_texts", "materialize", "read_table", "row_or_key", "schema_with", "slices", "small_batches", "unboxed"]
+__all__ = ["binary", "boxed", "drop_materialized", "frequent_keys", "keyed_texts", "materialize", "read_table", "release_memory", "row_or_key", "schema_with", "slices", "small_batches", "unboxed"]
 
 #: Bytes of the Arrow batches that workers get.
 BATCH_BYTES = 1 << 20
@@ -85,8 +86,18 @@ def binary(column) -> list[bytes]:
     return [x or b"" for x in column.to_pylist()]
 
 
+def release_memory() -> None:
+    """Give back what this worker's allocators keep but don't use: Spark reuses workers, so one stage's peak would stay through the
+    next ones."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut record batches so that each holds about most_bytes of the column, one row at least."""
+    """Cut record batches so that each holds about most_bytes of the column, one row at least; at the end the worker's unused memory
+    goes back."""
     for batch in batches:
         n = batch.num_rows
         if not n:
@@ -100,3 +111,4 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most_bytes:
                 start, total = i, 0
             total += s
         yield batch.slice(start)
+    release_memory()

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary, drop_materialized, frequent_keys, materialize, row_or_key, schema_with, slices, small_batches
+from .common import binary, drop_materialized, frequent_keys, materialize, release_memory, row_or_key, schema_with, slices, small_batches
 from .near import mixed
 
 #: Bytes of one text that are searched for minimizers at once; longer texts are read in overlapping parts.
@@ -110,7 +110,7 @@ def repeated_starts(contexts: list[bytes], least: int) -> list[np.ndarray]:
     raw = np.frombuffer(b"\0".join(contexts) + b"\0", np.uint8)
     sym = raw.astype(np.int32) + m
     sym[ends] = np.arange(m)
-    left = np.repeat(ends, lengths + 1) - np.arange(n)  # bytes before the mark
+    left = (np.repeat(ends, lengths + 1) - np.arange(n)).astype(np.int32)  # bytes before the mark
     # Suffix order by doubling: seven bytes first; a suffix that has met its mark is ordered by the mark.
     key = np.zeros(n, np.int64)
     for i in range(7):
@@ -126,23 +126,26 @@ def repeated_starts(contexts: list[bytes], least: int) -> list[np.ndarray]:
         ordered = key[order]
         new = np.ones(n, bool)
         new[1:] = (ordered[1:] != ordered[:-1]) | (left[order[1:]] < span)
-        rank = np.empty(n, np.int64)
+        del ordered
+        rank = np.empty(n, np.int32)
         rank[order] = np.cumsum(new) - 1
         if new.all() or span > int(lengths.max()):
             break
         again = np.zeros(n, np.int64)
         again[: n - span] = rank[span:]
         again[left < span] = 0
-        key = rank * (n + 1) + again
+        key = rank.astype(np.int64) * (n + 1) + again
+        del rank, again
         order, span = np.argsort(key), span * 2
-    del key
-    before = np.empty(n, np.int64)
+    del key, rank, left
+    before = np.empty(n, np.int32)
     before[1:], before[0] = sym[:-1], sym[-1]
     bwt = before[order]
-    back = np.argsort(bwt.astype(np.uint16) if m + 256 < 65536 else bwt, kind="stable")  # row of the first column to row of the transform
+    del before, sym, raw
+    back = np.argsort(bwt.astype(np.uint16) if m + 256 < 65536 else bwt, kind="stable").astype(np.int32)  # row of the first column to row of the transform
     column = bwt[back]
-    forward = np.empty(n, np.int64)
-    forward[back] = np.arange(n)
+    forward = np.empty(n, np.int32)
+    forward[back] = np.arange(n, dtype=np.int32)
     same = np.zeros(n, bool)
     same[1:] = (column[1:] == column[:-1]) & (column[1:] >= m)
     fresh = np.flatnonzero(~same)
@@ -154,7 +157,8 @@ def repeated_starts(contexts: list[bytes], least: int) -> list[np.ndarray]:
     wide = np.flatnonzero(same)
     low, high = back[wide - 1], back[wide]
     apart = high > low + 1
-    wide, low, high = wide[apart], low[apart], high[apart]
+    wide, low, high = wide[apart].astype(np.int32), low[apart], high[apart]
+    del bwt, back, column, same
     for _ in range(1, least):
         if not len(fresh):
             break
@@ -346,6 +350,7 @@ def expand(bodies: DataFrame, least: int, most_bytes: int = 1 << 18) -> DataFram
                 last = h
         if waiting:
             yield flush()
+        release_memory()
 
     ordered = bodies.select("h", "th", "pos", "body").repartition("h").sortWithinPartitions("h")
     return ordered.mapInArrow(run, "th long, start long, end long")
