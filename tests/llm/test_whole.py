@@ -235,3 +235,29 @@ def test_packing_with_another_tokenizer(tmp_path):
         encoder, plain = packing.WordEncoder(path), Tokenizer.from_file(path)
         for t in (*packing.PROBES, "Some more Text, with É and\n\n lines.  End", ""):
             assert np.frombuffer(encoder.encode([t])[0], "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids
+
+
+def test_rules_learn_from_all_labels(spark):
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choice("abcdefg#") * rng.randint(1, 9) for _ in range(rng.randint(15, 40)))) for i in range(6000)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, int(i % 5 > 0)) for i in range(6000)], "doc_id long, quality int")
+    forest, limit = rules.fit_forest(docs.repartition(5), labels)
+    counts = [rules.text_counts(t.encode()) for _, t in rows]
+    stats = np.array([s for c, s in counts if c[0] >= 20])
+    good = np.sort(forest.score(np.array([s for i, (c, s) in enumerate(counts) if c[0] >= 20 and i % 5])))[::-1]
+    assert limit == good[int(len(good) * 0.008)]
+    # what a tree is grown on comes from all of them, in the same way for any partitions, and is held to its size
+    again, same = rules.fit_forest(docs.repartition(3), labels)
+    assert same == limit and all((x == y).all() for a, b in zip(forest.trees, again.trees, strict=True) for x, y in zip(a, b, strict=True))
+    at = spark.createDataFrame([(i % 3 * 2**33 + i // 3, s.tolist()) for i, s in enumerate(stats)], "at long, stats array<double>")
+    drawn = rules.draw(at, 400, 32)
+    assert len(drawn) == 400 and all(len(np.unique(x, axis=0)) <= len(x) == 32 for x in drawn)
+    places = {s.tobytes() for x in drawn for s in x}
+    assert places <= {s.tobytes() for s in stats} and len(places) > 0.9 * len({s.tobytes() for s in stats})  # 12,800 draws
+    assert len(rules.draw(at.limit(20), 3, 32)[0]) == 20
+
+
+def test_largest_by_rank(spark):
+    values = [0.5, 0.5, 0.5 + 1e-9, 0.25, 1.0, 1.0, 0.0]
+    for before, want in enumerate(sorted(values, reverse=True)):
+        assert rules.largest(spark.createDataFrame([(x,) for x in values], "score double"), before) == want
