@@ -7,8 +7,9 @@ import random
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from tessera.llm import classifier, lines, packing, queries, rules, search, suffixes
+from tessera.llm import classifier, common, lines, near, packing, queries, rules, search, suffixes
 
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -261,3 +262,29 @@ def test_largest_by_rank(spark):
     values = [0.5, 0.5, 0.5 + 1e-9, 0.25, 1.0, 1.0, 0.0]
     for before, want in enumerate(sorted(values, reverse=True)):
         assert rules.largest(spark.createDataFrame([(x,) for x in values], "score double"), before) == want
+
+
+def test_sets_deal_only_the_wanted_texts(spark):
+    rng = random.Random(6)
+    rows = [(i if i % 9 else None, " ".join(f"{rng.getrandbits(40):x}" for _ in range(500))) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    keyed = common.keyed_texts(docs)
+    wanted = common.materialize(keyed.where("doc_id % 20 = 0 or doc_id is null and k2 % 20 = 0").select("k1", "k2", F.monotonically_increasing_id().alias("node")), "wanted")
+    key = lambda d: {(r["k1"], r["k2"]) for r in d.select("k1", "k2").collect()}
+    few = key(near.likely(keyed, wanted))
+    assert key(wanted) <= few and len(few) < 150 and near.likely(keyed, wanted.where("false")).isEmpty()
+    store, gateway = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
+    stages = lambda: store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), None)
+    dealt = lambda: sum(stages().apply(i).shuffleWriteBytes() for i in range(stages().size()))
+    saved = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        docs = common.materialize(docs, "docs")
+        before = dealt()
+        got = {r["node"]: r["own"] for r in near.sets(docs, wanted, 5).collect()}
+        assert dealt() - before < sum(len(t) for _, t in rows) / 4
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", saved)
+    texts = {(r["k1"], r["k2"]): r["text"] for r in keyed.collect()}
+    own = near.Shingler(5, 1, 1)
+    assert got == {r["node"]: own.set_of(texts[r["k1"], r["k2"]].encode()).view(np.int64).tolist() for r in wanted.collect()}
