@@ -4,12 +4,13 @@ import hashlib
 import math
 import os
 import random
+import re
 import zlib
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from tessera.llm import classifier, common, lines, near, packing, queries, rules, search, suffixes
+from tessera.llm import classifier, common, lines, near, packing, passages, queries, rules, search, suffixes
 
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -23,6 +24,48 @@ def test_unit_dedup_takes_short_lines(spark, tmp_path):
     assert [r["kept_sha256"] for r in got] == [hashlib.sha256(t.encode()).hexdigest() for t in kept]
 
 
+def test_passages_inside_lines_go(spark, tmp_path):
+    passage = " ".join(f"w{i}" for i in range(51))
+    rows = [(1, f"ok\nhead {passage} tail"), (2, f"OK\nother start\t{passage.upper().replace(' ', chr(10), 5)} other tail"), (3, passage[:-4] + "\nok"), (4, None), (5, " a" * 500)]
+    spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], DOCUMENTS).write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.op9_passage_dedup(spark, str(tmp_path)).orderBy("doc_id").collect()
+    at = len("OK\nother start\t")
+    assert [r["removed"] for r in got] == ["", f"{at}-{at + len(passage)}", "", "", "103-1000"]  # a run keeps one passage
+    kept = [rows[0][1], "OK\nother start\t other tail", rows[2][1], "", " a" * 51 + " "]
+    assert [r["kept_sha256"] for r in got] == [hashlib.sha256(t.encode()).hexdigest() for t in kept]
+    assert [r["n_removed"] for r in got] == [0, 51, 0, 0, 449]
+
+
+def test_passages_against_a_sequential_walk(spark, monkeypatch):
+    monkeypatch.setattr(passages, "MOST_HELD", 500)
+    rng, gap = random.Random(5), (" ", "\n", " \t", "\x0b\r\n")
+    say = lambda n, of: "".join(rng.choice(of) + rng.choice(gap) for _ in range(n))
+    common = say(30, [f"é{i}" for i in range(9)])
+    texts = [None, "", " \n", "a", common, "a " * 100, "a b c " * 40, "x\x1cy\x85z " * 30, say(3000, "abcdE")]
+    texts += [rng.choice(("", " ")) + say(rng.randint(0, 60), ["a", "B", "cé", "D" * 9]) + common[rng.randint(0, 40) :] + say(rng.randint(0, 60), "uvw") for _ in range(60)]
+    rows = [(None if i == 20 else 100 - i, t) for i, t in enumerate(texts)] + [(200, texts[8]), (201, common), (201, common), (201, common)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for words in (3, 12, 25):
+        first, want = {}, []
+        for nth, (i, text) in enumerate(sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))):
+            data = (text or "").encode()
+            found = [(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", data)]
+            own, gone = [data[x:y].lower() for x, y in found], set()
+            for s in range(len(own) - words + 1):
+                doc, at = first.setdefault(tuple(own[s : s + words]), (nth, s))
+                if (doc, at) != (nth, s):
+                    gone.update(range(max(s, at + words) if doc == nth else s, s + words))
+            spans = []
+            for p in sorted(gone):
+                spans[-1:] = [(spans[-1][0], found[p][1])] if p - 1 in gone else [*spans[-1:], found[p]]
+            kept = b"".join(data[x:y] for x, y in zip([0, *(s[1] for s in spans)], [*(s[0] for s in spans), len(data)], strict=True))
+            want.append((i, len(data), len(found), len(gone), spans, hashlib.sha256(kept).hexdigest()))
+        got = [(r["doc_id"], r["n_bytes"], r["n_words"], r["n_removed"], [tuple(x) for x in r["removed"]], r["kept_sha256"]) for r in passages.dedup_passages(docs, words).collect()]
+        assert sorted(got, key=repr) == sorted(want, key=repr)
+        assert sum(r[3] > 0 for r in want) > 20
+    assert passages.dedup_passages(docs.limit(0)).count() == 0
+
+
 def test_search_with_a_negative_axis():
     rng = np.random.default_rng(3)
     for d in (2, 3, 16):  # the longest rows are 0.65 rad off the axis, which all others and the queries are near
