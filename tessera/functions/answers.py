@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import NUMBER_WORDS, STOPWORDS, stem
+from .text import EDGE, NUMBER_WORDS, STOPWORDS, stem
 
 #: Number words and ordinals that stand for digits in answers.
 COUNT_WORDS = ("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty").split()
@@ -58,7 +58,7 @@ def table_lemma(rows: list[tuple[str, str, str]]) -> Lemma:
 def lemma_tokens(answer: Column, lemma: Lemma = regular) -> Column:
     """Tokens of an answer: hyphens part words, ordinals and small numbers become words, nouns of VERBS their verbs."""
     low = F.lower(F.regexp_replace(F.coalesce(answer, F.lit("")), "[-_]", " "))
-    found = F.regexp_extract_all(low, F.lit(f"({ANSWER_TOKEN})"), 1)
+    found = F.regexp_extract_all(low, F.lit("(" + ANSWER_TOKEN.replace(r"\b", EDGE) + ")"), 1)
     numbers = {str(i): w for i, w in enumerate(COUNT_WORDS)} | ORDINALS
 
     def form(t: Column) -> Column:

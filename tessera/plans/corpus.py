@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions.text import EDGE_AFTER, EDGE_BEFORE
 from ..operators import grams
 from ..operators.ordered import running
 from .registry import query, table
@@ -66,7 +67,7 @@ def toxic_filter(spark, sf_dir):
 @query(r"SELECT conv_id, bool_or(regexp_matches(lower(text), '\b(openai|chatgpt|claude|gemini|the)\b')) AS named, sum(len(regexp_extract_all(text, '(19|20)[0-9]{2}')))::BIGINT AS years FROM conversations GROUP BY 1")
 def provider_mentions(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
-    return c.groupBy("conv_id").agg(F.bool_or(F.lower("text").rlike(r"\b(openai|chatgpt|claude|gemini|the)\b")).alias("named"), F.sum(F.regexp_count("text", F.lit("(19|20)[0-9]{2}")).cast("long")).alias("years"))
+    return c.groupBy("conv_id").agg(F.bool_or(F.lower("text").rlike(f"{EDGE_BEFORE}(openai|chatgpt|claude|gemini|the){EDGE_AFTER}")).alias("named"), F.sum(F.regexp_count("text", F.lit("(19|20)[0-9]{2}")).cast("long")).alias("years"))
 
 
 @query(r"SELECT doc_id, len(list_filter(string_split_regex(text, '[.!?]+'), lambda s: trim(s) <> '')) AS sentences, len(list_filter(string_split(text, chr(10)), lambda s: trim(s) <> '')) AS lines, len(list_filter(string_split(text, chr(10)), lambda s: regexp_matches(s, '^\s*[-*]'))) AS bullets FROM documents")

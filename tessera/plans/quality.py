@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import repetition as fn
+from ..functions.text import EDGE
 from .registry import query, table
 
 #: Classes of Python's patterns as both engines read them.
@@ -154,7 +155,7 @@ CUT = "CASE conv_id % 9 WHEN 0 THEN text || ' My knowledge cutoff is May 2023. A
 @query(f"WITH c AS (SELECT conv_id, role, {CUT} AS text FROM conversations), m AS (SELECT conv_id, role, regexp_extract_all(text, '{CUTOFF}') AS m FROM c) SELECT role, sum(len(m))::BIGINT AS mentions, sum((len(m) > 0)::INT)::BIGINT AS turns, count(DISTINCT conv_id) FILTER (WHERE len(m) > 0) AS removed, (SELECT count(DISTINCT conv_id) FROM m WHERE conv_id NOT IN (SELECT conv_id FROM m WHERE len(m) > 0)) AS kept FROM m GROUP BY 1")
 def cutoff_mentions(spark, sf_dir):
     """Mentions of a model's knowledge cutoff by role, and how many conversations stay when those with one go."""
-    c = table(spark, sf_dir, "conversations").select("conv_id", "role", F.regexp_count(F.expr(CUT), F.lit(CUTOFF)).cast("long").alias("m"))
+    c = table(spark, sf_dir, "conversations").select("conv_id", "role", F.regexp_count(F.expr(CUT), F.lit(CUTOFF.replace(r"\b", EDGE))).cast("long").alias("m"))
     bad = c.where("m > 0").select("conv_id").distinct()
     kept = c.select("conv_id").distinct().join(bad, "conv_id", "left_anti").agg(F.count("*").alias("kept"))
     by = c.groupBy("role").agg(F.sum("m").alias("mentions"), F.sum((F.col("m") > 0).cast("int")).alias("turns"), F.count_distinct(F.when(F.col("m") > 0, F.col("conv_id"))).alias("removed"))
