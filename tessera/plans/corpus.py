@@ -55,7 +55,7 @@ def ngram_repeats(spark, sf_dir):
 @query("SELECT doc_id, len(regexp_extract_all(text, '[äöüß]')) AS hits, round(len(regexp_extract_all(text, '[äöüß]')) / length(text), 6) AS ratio FROM documents WHERE length(text) > 0 AND len(regexp_extract_all(text, '[äöüß]')) / length(text) >= 0.01")
 def script_ratio(spark, sf_dir):
     hits = F.regexp_count("text", F.lit("[äöüß]")).cast("long")
-    d = table(spark, sf_dir, "documents").select("doc_id", hits.alias("hits"), (hits / F.length("text")).alias("r")).where("r >= 0.01D")
+    d = table(spark, sf_dir, "documents").select("doc_id", hits.alias("hits"), (hits / F.nullif(F.length("text"), F.lit(0))).alias("r")).where("r >= 0.01D")
     return d.select("doc_id", "hits", F.round("r", 6).alias("ratio"))
 
 
