@@ -153,8 +153,9 @@ def cosine_pairs(spark, sf_dir):
 
 @query(SIM + ", d AS (SELECT a AS v FROM p WHERE s >= 0.3 UNION ALL SELECT b FROM p WHERE s >= 0.3) SELECT vec_id, 1 + count(v) AS family_size FROM embeddings LEFT JOIN d ON v = vec_id GROUP BY 1")
 def family_size(spark, sf_dir):
-    ends = _pairs(spark, sf_dir).select(F.explode(F.array("a", "b")).alias("vec_id")).groupBy("vec_id").agg(F.count("*").alias("n"))
-    return table(spark, sf_dir, "embeddings").select("vec_id").join(ends, "vec_id", "left").select("vec_id", (1 + F.coalesce("n", F.lit(0))).alias("family_size"))
+    e = table(spark, sf_dir, "embeddings")
+    ends = ops.neighbours(e, 0.3)
+    return e.select("vec_id").join(ends, "vec_id", "left").select("vec_id", (1 + F.coalesce("n", F.lit(0))).alias("family_size"))
 
 
 @query("SELECT doc_id, text_id, copies FROM (SELECT doc_id, min(doc_id) OVER w AS text_id, count(*) OVER w AS copies FROM documents WINDOW w AS (PARTITION BY text)) WHERE doc_id = text_id")
