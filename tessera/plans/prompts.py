@@ -142,13 +142,9 @@ def flatten_messages(spark, sf_dir):
 SIM = "WITH p AS (SELECT a.vec_id AS a, b.vec_id AS b, list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id)"
 
 
-def _pairs(spark, sf_dir, least=0.3):
-    return ops.cosine_pairs(table(spark, sf_dir, "embeddings"), least)
-
-
 @query(SIM + " SELECT a, b, round(s, 6) AS sim FROM p WHERE s >= 0.3")
 def cosine_pairs(spark, sf_dir):
-    return _pairs(spark, sf_dir)
+    return ops.cosine_pairs(table(spark, sf_dir, "embeddings"), 0.3)
 
 
 @query(SIM + ", d AS (SELECT a AS v FROM p WHERE s >= 0.3 UNION ALL SELECT b FROM p WHERE s >= 0.3) SELECT vec_id, 1 + count(v) AS family_size FROM embeddings LEFT JOIN d ON v = vec_id GROUP BY 1")
