@@ -10,6 +10,7 @@ from ..functions.text import NUMBER_WORDS
 from ..operators import grams
 from ..operators import selection as ops
 from ..operators.ordered import ranked
+from ..sources.shared import materialize
 from .registry import query, table
 
 #: Documents with a word or two put before them, so that these tables' prose has prompts among it.
@@ -54,7 +55,7 @@ def tfidf_rank(spark, sf_dir):
 def prompt_candidates(spark, sf_dir):
     """Prompts by the nearest of the twelve phrases, best first, cut at a least score."""
     got = grams.tfidf(_prompts(spark, sf_dir), ops.SEEDS).where("score >= 0.01")
-    return ranked(got, [F.desc("score"), F.col("doc_id")])
+    return ranked(materialize(got, "scored"), [F.desc("score"), F.col("doc_id")])  # dealing by range reads its input twice
 
 
 @query(RANKED.replace("{docs}", PROMPTS).replace("{seeds}", _seeds(ops.SEEDS)) + "SELECT seed, count(*) AS n, round(min(score), 6) AS low, round(avg(score), 5) AS mean, round(max(score), 6) AS high FROM ranked WHERE score > 0 GROUP BY 1")
